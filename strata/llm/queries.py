@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strata.llm import bpe, tokenfiles
+from strata.llm import bpe, quality_rules, simhash, tokenfiles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -18,6 +19,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.hex_column(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write_token_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=0)
     return tokenfiles.read_token_files(manifest)
@@ -25,6 +35,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
 }
 
