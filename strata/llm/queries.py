@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, quality_rules, simhash, tokenfiles
+from strata.llm import bpe, media, quality_rules, secrets, simhash, tokenfiles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,11 +33,21 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(manifest)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(documents(spark, sf_dir))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
+    "op7_secrets": op7_secrets,
+    "op8_media": op8_media,
 }
 
 ORACLE: dict[str, str] = {}
