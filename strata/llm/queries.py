@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, media, quality_classifier, quality_rules, secrets, simhash, tokenfiles
+from strata.llm import bpe, media, pii, quality_classifier, quality_rules, secrets, simhash, tokenfiles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_column(F.col("fp")).alias("fingerprint"), "component_id")
@@ -50,6 +54,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe": op2_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_token_files": op6_token_files,
     "op7_secrets": op7_secrets,
