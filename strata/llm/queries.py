@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, media, pii, quality_classifier, quality_rules, secrets, simhash, tokenfiles
+from strata.llm import bpe, hmm, media, pii, quality_classifier, quality_rules, secrets, simhash, tokenfiles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -50,6 +50,10 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe": op2_bpe,
@@ -59,6 +63,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_secrets": op7_secrets,
     "op8_media": op8_media,
+    "op9_hmm": op9_hmm,
 }
 
 ORACLE: dict[str, str] = {}
