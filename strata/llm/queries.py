@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, hmm, media, pii, quality_classifier, quality_rules, secrets, simhash, tokenfiles
+from strata.llm import bpe, hmm, media, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tokenfiles
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -54,6 +54,13 @@ def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(documents(spark, sf_dir))
 
 
+WEIGHTS = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe": op2_bpe,
@@ -64,6 +71,7 @@ QUERIES = {
     "op7_secrets": op7_secrets,
     "op8_media": op8_media,
     "op9_hmm": op9_hmm,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE: dict[str, str] = {}
