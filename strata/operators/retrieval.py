@@ -77,7 +77,7 @@ def score(rows: DataFrame, query: str, idf: dict[str, float] | None = None) -> D
     total = sum(weight.values())
     zero = F.lit(0.0)
     content = sum((in_c(t) * w for t, w in weight.items()), zero) / total if total else zero
-    freq = F.least(sum((F.size(F.filter("_c", lambda x, t=t: x == t)) for t in q), F.lit(0)) / 10.0, F.lit(1.0))
+    freq = F.least(F.size(F.filter("_c", lambda x: x.isin(q))) / 10.0, F.lit(1.0)) if q else zero
     in_file = _share(F.size(F.array_intersect(text.retrieval_tokens(F.col("file")), words(q))), len(q))
     phrase = F.array_join("_c", " ").contains(" ".join(ordered)).cast("double") if ordered else zero
     module = F.least(F.lit(1.0), _share(F.size(F.array_intersect("_m", words(related))), len(related)))
@@ -143,7 +143,7 @@ def diverse(rows: DataFrame, k: int, weight: float = DIVERSITY) -> DataFrame:
     marked = rows.withColumn("_tokens", F.array_distinct(text.retrieval_tokens(F.concat_ws(" ", "content", "file"))))
     schema = rows.schema
 
-    return order_of(marked.groupBy(F.lit(0)).applyInPandas(_mmr(k, weight, schema.names), schema))
+    return order_of(marked.withColumn("_pool", F.lit(0)).groupBy("_pool").applyInPandas(_mmr(k, weight, schema.names), schema))
 
 
 def _mmr(k: int, weight: float, names: list[str]):
