@@ -22,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -174,8 +175,11 @@ def encode_column(text, path: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
+        # One text's ids at a time: as Python lists, those of a batch would fill the memory.
         bpe = load(path)
-        return pa.array([bpe.encode(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
+        rows = [np.array(bpe.encode(t.as_py()), np.int32) for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
 
     return encode(text)
 
@@ -186,7 +190,7 @@ def decode_column(ids, path: str):
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
         bpe = load(path)
-        return pa.array([bpe.decode(r or ()) for r in rows.to_pylist()], pa.string())
+        return pa.array([bpe.decode(r.values.to_numpy().tolist() if r.is_valid else ()) for r in rows], pa.string())
 
     return decode(ids)
 
