@@ -118,13 +118,13 @@ def _looks_like_identifier(word: Column) -> Column:
     return F.length(word).between(5, 64) & ((F.length(_digits(word)) >= 4) | word.contains("@"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with _row, _base (all base spans) and _seen (words with pattern and role), written once.
+def scan(docs: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with _row, _base (all base spans) and _seen (words with pattern and role), written once.
 
     A word's role is ``seed`` where a base finding starts in it, ``other`` where
     it lies clear of them and looks like an identifier.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(text.cast("string"), F.lit(""))
     base = docs.withColumn("_base", F.concat(*(matches(text, k) for k in KINDS))).withColumn("_words", identifier_words(text))
 
     def role(w: Column) -> Column:
@@ -134,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     seen = F.transform("_words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["word"].alias("word"), w["pattern"].alias("pattern"), role(w).alias("role")))
     seen = F.filter(seen, lambda w: w["role"].isNotNull() & (F.trim(w["pattern"]) != ""))
-    return materialize(base.withColumn("_seen", seen).drop("_words").withColumn("_row", F.monotonically_increasing_id()), "identifiers")
+    return materialize(base.select(*keep, "_base", seen.alias("_seen"), F.monotonically_increasing_id().alias("_row")), "identifiers")
 
 
 def confident_patterns(scanned: DataFrame, support: float = LEAST_SUPPORT, confidence: float = LEAST_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
@@ -183,7 +183,7 @@ def _text_of(spans: Column) -> Column:
 
 def find(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, counts by base kind, base_sha256 and spans of every document."""
-    rows = _with_context(scan(docs.select("doc_id", "text")).drop("text"), **limits)
+    rows = _with_context(scan(docs.select("doc_id", "text"), F.col("text"), "doc_id"), **limits)
     count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint")
     return rows.select(
         "doc_id",
@@ -196,8 +196,8 @@ def find(docs: DataFrame, **limits) -> DataFrame:
 def redact(docs: DataFrame, **limits) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by its kind in brackets; null text stays null."""
     names = docs.columns
-    kept = F.struct(*(F.col(c) for c in names)).alias("_given")
-    rows = _with_context(scan(docs.select(kept, F.col("text").alias("text"))).drop("text"), **limits)
+    kept = docs.select(F.struct(*(F.col(c) for c in names)).alias("_given"))
+    rows = _with_context(scan(kept, F.col("_given")["text"], "_given"), **limits)
     text = F.col("_given")["text"]
     spans = F.array_sort(F.concat("_base", "_context"), lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(b["end"] - a["end"])).cast("int"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
