@@ -1,8 +1,7 @@
 """Mixing sources to target weights by soft membership (operator 10).
 
 Rows of the labelled table fall into domains; a naive Bayes classifier on hashed
-words, cut to those whose document frequency differs between domains, predicts
-each document's domain posteriors.  Rates r >= 0 are then fitted so that the
+words, cut to those that mark a domain, predicts each document's posteriors.  Rates r >= 0 are then fitted so that the
 expected tokens of each domain, sum(tokens * posterior * r), match the targets:
 projected-gradient least squares from r = 1, each step's gradient scaled by the
 small Gram matrix of the documents still at work.  A step is one aggregation of
@@ -16,6 +15,7 @@ has none.  Targets for a domain that no document belongs to stay unmet, which
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,10 +27,14 @@ from pyspark.sql import functions as F
 from strata.storage import materialize
 
 DOMAINS = ("clean", "junk", "toxic")
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 LEAST_DOCS = 5
 LEAST_Z = 5.0
+LEAST_SHARE = 0.1
+LEAST_RATIO = 2.0
 STEPS = 25
+DAMPING = 1e-3
+TOLERANCE = 1e-4  # of all target tokens
 SLICE_BYTES = 2 << 20
 FULL_RATE = 0.5
 
@@ -76,7 +80,7 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         many = len(offsets) - 1
         if not len(data):
             counts.append(np.zeros(many, np.int64))
-            buckets += [np.empty(0, np.uint16)] * many
+            buckets += [np.empty(0, np.uint32)] * many
             continue
         first = np.zeros(len(data) + 1, bool)
         first[offsets[:-1]] = True
@@ -96,15 +100,15 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         mixed = (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F)) ^ size.astype(np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         owner = np.searchsorted(offsets, begin, "right") - 1
-        keys = np.unique(owner * BUCKETS + (mixed >> np.uint64(48)).astype(np.int64))
+        keys = np.unique(owner * BUCKETS + (mixed >> np.uint64(46)).astype(np.int64))
         cut = np.searchsorted(keys, np.arange(1, many) * BUCKETS)
-        buckets += np.split((keys % BUCKETS).astype(np.uint16), cut)
+        buckets += np.split((keys % BUCKETS).astype(np.uint32), cut)
     return (np.concatenate(counts) if counts else np.zeros(0, np.int64)), buckets
 
 
 @dataclass(frozen=True)
 class Classifier:
-    base: np.ndarray  # (domains): log prior; absent words say nothing, or short texts would lean to junk
+    base: np.ndarray  # (domains): log prior and what all absent marks say
     weights: np.ndarray  # (BUCKETS, domains): what a word's presence adds
 
     def posteriors(self, buckets: list[np.ndarray]) -> np.ndarray:
@@ -120,17 +124,25 @@ class Classifier:
 
 
 def estimate(frequency: np.ndarray, docs: np.ndarray) -> Classifier:
-    """Classifier from document frequencies (domains, BUCKETS) and documents by domain."""
+    """Classifier from document frequencies (domains, BUCKETS) and documents by domain.
+
+    A domain's marks are words that enough of its documents have, and at least
+    LEAST_RATIO times as often as documents at large; all else is left out, so
+    neither short texts nor groups of copies lean to a domain by chance.
+    """
     total, n = frequency.sum(axis=0), docs.sum()
-    share = total / max(n, 1)
+    share, some = total / max(n, 1), np.maximum(docs, 1)[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.abs(frequency - docs[:, None] * share) / np.sqrt(docs[:, None] * share * (1 - share))
-    informative = (total >= LEAST_DOCS) & (np.nan_to_num(z, posinf=0).max(axis=0) >= LEAST_Z)
+        z = (frequency - docs[:, None] * share) / np.sqrt(docs[:, None] * share * (1 - share))
+        ratio = frequency / some / share
+    mark = (frequency / some >= LEAST_SHARE) & (np.nan_to_num(z, posinf=0) >= LEAST_Z) & (np.nan_to_num(ratio, posinf=0) >= LEAST_RATIO)
+    informative = mark.any(axis=0) & (total >= LEAST_DOCS)
     # Shrunken towards the corpus' share, more so for domains with few documents.
     chance = np.clip((frequency + 2 * share) / (docs[:, None] + 2), 1e-6, 1 - 1e-6)
     present = np.where(informative, np.log(chance / np.clip(share, 1e-6, 1)), 0.0)
+    absent = np.where(informative, np.log((1 - chance) / np.clip(1 - share, 1e-6, 1)), 0.0)
     prior = np.log((docs + 1) / (n + len(docs)))
-    return Classifier(prior, np.ascontiguousarray(present.T))
+    return Classifier(prior + absent.sum(axis=1), np.ascontiguousarray((present - absent).T))
 
 
 def featurise(docs: DataFrame) -> DataFrame:
@@ -152,28 +164,34 @@ def fit_classifier(features: DataFrame, labels: DataFrame) -> Classifier:
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total = np.zeros((len(DOMAINS), BUCKETS + 1))
+        total = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
         for batch in batches:
             domain = batch.column(1).to_numpy(zero_copy_only=False)
             buckets = batch.column(0).to_pylist()
             for k in range(len(DOMAINS)):
-                own = [np.frombuffer(buckets[i], np.uint16) for i in np.flatnonzero(domain == k)]
+                own = [np.frombuffer(buckets[i], np.uint32) for i in np.flatnonzero(domain == k)]
                 total[k, BUCKETS] += len(own)
                 if own:
                     total[k, :BUCKETS] += np.bincount(np.concatenate(own), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(total)], pa.binary())], ["part", "total"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py()) for b in table.column("total"))
-        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"total": pa.array([pack(sum(unpack(b.as_py()) for b in table.column("total")))], pa.binary())})
+
+    def pack(counts: np.ndarray) -> bytes:
+        return zlib.compress(counts.tobytes(), 1)  # nearly all zeros
+
+    def unpack(raw: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(raw), np.int64)
 
     known = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.select("labelled", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null")
-    rows = features.join(known, F.col("doc_id") == F.col("labelled")).select("buckets", "domain")
+    # Labels grow with the corpus: the join is a sort-merge one at every size.
+    rows = features.join(known.hint("merge"), F.col("doc_id") == F.col("labelled")).select("buckets", "domain")
     sums = rows.mapInArrow(part, "part bigint, total binary")
     groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
     found = sums.groupBy(F.pmod("part", F.lit(groups)).alias("set")).applyInArrow(add, "total binary").collect()
-    total = sum((np.frombuffer(r.total) for r in found), np.zeros(size)).reshape(len(DOMAINS), BUCKETS + 1)
+    total = sum((unpack(r.total) for r in found), np.zeros(size, np.int64)).reshape(len(DOMAINS), BUCKETS + 1)
     return estimate(total[:, :BUCKETS], total[:, BUCKETS])
 
 
@@ -189,7 +207,7 @@ def _as_struct(p: np.ndarray, counts: np.ndarray) -> pa.Array:
 def posteriors_of_buckets(buckets: str, n_tokens: str, model: Classifier) -> Column:
     @F.arrow_udf(_posterior_struct())
     def run(rows: pa.Array, counts: pa.Array) -> pa.Array:
-        return _as_struct(model.posteriors([np.frombuffer(b, np.uint16) for b in rows.to_pylist()]), counts.to_numpy())
+        return _as_struct(model.posteriors([np.frombuffer(b, np.uint32) for b in rows.to_pylist()]), counts.to_numpy())
 
     return run(buckets, n_tokens)
 
@@ -241,10 +259,12 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, facto
                 share = np.array([weights.get(d, 0.0) for d in DOMAINS])
                 targets = share / share.sum() * (totals.sum() if tokens is None else tokens)
         short = targets - totals
-        if i == STEPS or np.abs(short).max() <= 1e-9 * max(1.0, targets.max()):
+        if i == STEPS or np.abs(short).max() <= TOLERANCE * max(1.0, targets.sum()):
             break
-        steps.append(tuple(np.linalg.pinv(gram, rcond=1e-10, hermitian=True) @ short))
-    return Mix(tuple(steps), tuple(totals), tuple(targets))
+        # The damping keeps a domain that hardly any document belongs to from driving all rates.
+        damped = gram + DAMPING * max(np.trace(gram) / k, 1e-300) * np.eye(k)
+        steps.append(tuple(float(x) for x in np.linalg.solve(damped, short)))
+    return Mix(tuple(steps), tuple(map(float, totals)), tuple(map(float, targets)))
 
 
 def _chance(doc_id: Column, seed: int) -> Column:
