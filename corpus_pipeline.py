@@ -25,7 +25,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Tokens that each domain shall have, as a share of what it has.
-FACTORS = {"clean": 1.0, "junk": 1.0, "toxic": 0.5}
+FACTORS = {"clean": 1.0, "junk": 0.5, "toxic": 0.1}
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
