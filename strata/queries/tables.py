@@ -6,11 +6,14 @@ relations that a query names, and those they rest on, before its body.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import paths, vocab
 from strata.operators import graph, layers
+from strata.storage import materialize
 
 REPO = "r0"
 SPLIT_DATE = "1998-05-24"
@@ -157,6 +160,37 @@ def supplier_layers(spark: SparkSession, sf: str) -> DataFrame:
     return layers.classify(supplier_files(spark, sf))
 
 
+class Repository:
+    """Relations that a query reads more than once, each derived once and written to the shared folder."""
+
+    def __init__(self, spark: SparkSession, sf: str):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return supplier_files(self.spark, self.sf)
+
+    @cached_property
+    def layers(self) -> DataFrame:
+        return layers.classify(self.files)
+
+    @cached_property
+    def production(self) -> DataFrame:
+        return graph.production_files(self.files)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return materialize(edges(self.spark, self.sf), "edges")
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return graph.production_pairs(self.edges, self.production)
+
+    @cached_property
+    def modules(self) -> DataFrame:
+        return materialize(graph.modules(self.production, self.pairs), "modules")
+
+
 # --- two snapshots -------------------------------------------------------------------
 
 
