@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import paths, text, vocab
 from strata.operators import claims as claim_ops
-from strata.operators import evidence, retrieval
+from strata.operators import evidence, retrieval, selection
 from strata.queries import tables as t
 from strata.queries.structure import _with
 from strata.queries.tables import sql, tokens_sql
@@ -368,3 +368,27 @@ def url_projection(spark: SparkSession, sf: str) -> DataFrame:
 def diverse_code_evidence(spark: SparkSession, sf: str) -> DataFrame:
     c = _chunks(spark, sf).withColumn("pos", F.col("doc_id") * 1000 + F.col("start_line")).withColumn("symbol_names", F.lit(""))
     return evidence.diverse_code(c, "idiot clown").select("file", F.col("start_line").cast("bigint").alias("start_line"), "score", "again")
+
+
+_CONTEXT = f"CASE WHEN {_any('lower(query)', selection.ARCHITECTURE_CONTEXT)} THEN 'architecture' WHEN {_any('lower(query)', selection.IMPLEMENTATION_CONTEXT)} THEN 'implementation' WHEN {_any('lower(query)', selection.SYMBOL_CONTEXT)} THEN 'symbol' ELSE 'general' END"
+
+
+@query(sql(f"SELECT conv_id, turn, {_CONTEXT} AS intent FROM questions", "questions"))
+def context_intent(spark: SparkSession, sf: str) -> DataFrame:
+    return t.questions(spark, sf).select("conv_id", "turn", selection.context_intent(F.col("query")).alias("intent"))
+
+
+@query(_with("SELECT answer_id, sum(evidence_n)::BIGINT AS \"references\", round(100.0::DOUBLE * count(*) FILTER (status <> 'unknown' AND evidence_n > 0) / count(*))::BIGINT AS coverage_percent FROM judged GROUP BY answer_id", _OVERLAP + _JUDGED, "claims"))
+def evidence_references(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.evidence_references(_judged(spark, sf))
+
+
+@query(_with("SELECT file, start_line, end_line FROM chunks WHERE (file, start_line) NOT IN (SELECT (file, start_line) FROM top)", _SCORE + ", " + _STRONG, "chunks"))
+def unused_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    left = selection.unused_chunks(_chunks(spark, sf), _top(spark, sf))
+    return left.select("file", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
+
+
+@query("SELECT count(*) AS files, 2 * count(*) AS imports, 2 * count(*) AS functions, count(*) AS classes FROM part WHERE p_partkey % 10 <> 3")
+def structure_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.structure_totals(pyast.structure(pyast.facts(_python_files(spark, sf)))).drop("repo_id")

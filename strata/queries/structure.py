@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import paths
-from strata.operators import drift, evidence, graph, layers, risk
+from strata.operators import drift, evidence, graph, layers, risk, selection
 from strata.queries import tables as t
 from strata.queries.tables import sql
 from strata.sources import files as source_files
@@ -414,3 +414,26 @@ def metadata_facts(spark: SparkSession, sf: str) -> DataFrame:
 )
 def architecture_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.lookup_modules(t.modules(spark, sf), "pkg1.s1 dependencies").select("module_name", "file", "total_connections", "exact", "shared")
+
+
+# --- displays ------------------------------------------------------------------------
+
+
+@query(sql("SELECT m.module_name, coalesce(n.module_name, d) AS dependency FROM (SELECT module_name, unnest(outs) AS d FROM mods) m LEFT JOIN mods n ON n.file = d", "mods"))
+def dependency_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.dependency_labels(t.Repository(spark, sf).modules).drop("repo_id")
+
+
+@query(sql("SELECT source, target, import FROM edges WHERE contains(lower(source), 'pkg1') OR contains(lower(target), 'pkg1') OR contains(lower(import), 'pkg1')", "edges"))
+def edge_search(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.search_edges(t.edges(spark, sf), "PKG1").drop("repo_id")
+
+
+@query(sql("SELECT module_name, total_connections FROM mods ORDER BY total_connections DESC, module_name LIMIT 8", "mods"))
+def top_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.top_modules(t.Repository(spark, sf).modules).drop("repo_id")
+
+
+@query(sql("SELECT file, row_number() OVER (ORDER BY 'source', total_connections DESC, file) AS place FROM mods", "mods"))
+def radial_order(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.radial_order(t.Repository(spark, sf).modules).drop("repo_id")
