@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 ROWS = "1000"
@@ -12,3 +16,10 @@ def small_batches(spark: SparkSession) -> None:
     """Batches of texts of at most a thousand rows or 8 MB, as results can be many times as large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
+
+
+def release_memory() -> None:
+    """Give memory that this Python worker no longer needs back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
