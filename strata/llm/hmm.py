@@ -12,9 +12,10 @@ more share for all tokens never seen.  Every text thus has an exact probability.
    sent back to the chunks.  A word counts once for each chunk there, however
    many documents hold it.
 3. Baum-Welch: each chunk sums expected counts over its training texts, groups
-   of partitions add them, the driver re-estimates.  The first rounds run over
-   every ``WARM_UP``-th text of at most ``WARM_TOKENS`` tokens of each chunk and
-   only choose the start; then every training text counts whole in each round.
+   of partitions add them, the driver re-estimates.  Every training text counts
+   whole in each round; rounds go on until one gains no more than ``TOLERANCE``
+   of the log likelihood.  A text too long for a batch goes through the
+   recursions in segments, the later ones first.
 4. A scaled forward recursion gives each text's likelihood; all texts of a batch
    step together.
 
@@ -44,10 +45,7 @@ END = SHORT_SYMBOLS + LONG_SYMBOLS
 SYMBOLS = END + 1
 CHUNK_BYTES = 12 << 20
 BATCH_TOKENS = 200_000
-WARM_UP = 8
-WARM_TOKENS = 1024
-WARM_ROUNDS = 6
-ROUNDS = 2
+TOLERANCE = 1e-4  # of the log likelihood of all training texts
 PRIOR = 200.0
 
 
@@ -196,46 +194,71 @@ class Batch:
         self.symbols[at] = flat
         self.owner[at] = np.repeat(np.arange(len(lengths)), sorted_lengths)
 
-    def forward(self, hmm: Hmm, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled state chances (if kept), scales, and emission chances."""
-        seen = np.ascontiguousarray(hmm.emit.T)[self.symbols]
-        scale = np.empty(len(self.symbols))
-        chances = np.empty_like(seen) if keep else seen[:0]
-        a = np.broadcast_to(hmm.start, (int(self.active[0]), len(hmm.start)))
-        for t, n in enumerate(self.active.tolist()):
-            o = self.offsets[t]
-            a = (a if t == 0 else a[:n] @ hmm.move) * seen[o : o + n]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            scale[o : o + n] = c
-            if keep:
-                chances[o : o + n] = a
+    def spans(self) -> list[tuple[int, int]]:
+        """Runs of steps of at most BATCH_TOKENS tokens; all steps, but for a text that is longer."""
+        out, at = [], 0
+        while at < len(self.active):
+            end = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + BATCH_TOKENS, "right")) - 1)
+            out.append((at, end))
+            at = end
+        return out
+
+    def forward(self, hmm: Hmm, span: tuple[int, int], a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled state chances, scales, and emission chances of a span; ``a`` has the chances before it."""
+        active, offsets = self.active[span[0] : span[1]].tolist(), (self.offsets[span[0] : span[1] + 1] - self.offsets[span[0]]).tolist()
+        seen = np.ascontiguousarray(hmm.emit.T).take(self.symbols[self.offsets[span[0]] : self.offsets[span[1]]], axis=0)
+        chances, scale, ones = np.empty_like(seen), np.empty(len(seen)), np.ones(len(hmm.start))
+        for n, o in zip(active, offsets):
+            own, c = chances[o : o + n], scale[o : o + n]
+            if a is None:
+                np.multiply(hmm.start, seen[:n], out=own)
+            else:
+                np.matmul(a[:n], hmm.move, out=own)
+                own *= seen[o : o + n]
+            np.matmul(own, ones, out=c)
+            own /= c[:, None]
+            a = own
         return chances, scale, seen
 
     def likelihoods(self, hmm: Hmm) -> np.ndarray:
         """log10 likelihood of each sequence, in the order given."""
-        _, scale, _ = self.forward(hmm, keep=False)
+        found, a = np.zeros(len(self.order)), None
+        for span in self.spans():
+            chances, scale, _ = self.forward(hmm, span, a)
+            a = chances[-self.active[span[1] - 1] :].copy()
+            found += np.bincount(self.owner[self.offsets[span[0]] : self.offsets[span[1]]], np.log10(scale), len(self.order))
         out = np.empty(len(self.order))
-        out[self.order] = np.bincount(self.owner, np.log10(scale), len(self.order))
+        out[self.order] = found
         return out
 
     def expected(self, hmm: Hmm) -> np.ndarray:
         """Expected counts: starts, moves and emissions, one after the other."""
-        k = len(hmm.start)
-        alpha, scale, seen = self.forward(hmm, keep=True)
-        moves, active, offsets = np.zeros((k, k)), self.active.tolist(), self.offsets.tolist()
-        b = np.ones((active[-1], k))
-        for t in range(len(active) - 1, 0, -1):
-            n, o, before = active[t], offsets[t], offsets[t - 1]
-            w = seen[o : o + n] * b
-            w /= scale[o : o + n, None]
-            moves += alpha[before : before + n].T @ w
-            alpha[o : o + n] *= b
-            b = np.ones((active[t - 1], k))
-            b[:n] = w @ hmm.move.T
-        alpha[: active[0]] *= b
-        emits = np.stack([np.bincount(self.symbols, alpha[:, j], SYMBOLS) for j in range(k)])
-        return np.concatenate([alpha[: active[0]].sum(axis=0), (moves * hmm.move).ravel(), emits.ravel()])
+        return self.expected_and_likelihood(hmm)[0]
+
+    def expected_and_likelihood(self, hmm: Hmm) -> tuple[np.ndarray, float]:
+        """Expected counts, and the log10 likelihood of all sequences together."""
+        k, spans, before, likely = len(hmm.start), self.spans(), [None], 0.0
+        for span in spans[:-1]:
+            before.append(self.forward(hmm, span, before[-1])[0][-self.active[span[1] - 1] :].copy())
+        moves, emits, back = np.zeros((k, k)), np.zeros((k, SYMBOLS)), np.ascontiguousarray(hmm.move.T)
+        b = np.ones((int(self.active[0]), k))
+        for (begin, end), a in zip(reversed(spans), reversed(before)):
+            alpha, scale, w = self.forward(hmm, (begin, end), a)
+            likely += float(np.log10(scale).sum())
+            w /= scale[:, None]
+            active, offsets = self.active[begin:end].tolist(), (self.offsets[begin : end + 1] - self.offsets[begin]).tolist()
+            for t in range(len(active) - 1, -1, -1):
+                n, o = active[t], offsets[t]
+                come = alpha[offsets[t - 1] : offsets[t - 1] + n] if t else a
+                alpha[o : o + n] *= b[:n]
+                if come is None:
+                    break
+                own = w[o : o + n]
+                own *= b[:n]
+                moves += come[:n].T @ own
+                np.matmul(own, back, out=b[:n])
+            emits += np.stack([np.bincount(self.symbols[self.offsets[begin] : self.offsets[end]], x, SYMBOLS) for x in np.ascontiguousarray(alpha.T)])
+        return np.concatenate([alpha[: self.active[0]].sum(axis=0), (moves * hmm.move).ravel(), emits.ravel()]), likely
 
 
 def batches_of(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], Batch]]:
@@ -258,9 +281,9 @@ def _sequences(row: dict) -> list[np.ndarray]:
     return np.split(symbols, np.cumsum(lengths)[:-1])
 
 
-def expected_counts(chunks: DataFrame, hmm: Hmm, stride: int = 1, longest: int | None = None) -> np.ndarray:
-    """Expected counts over every ``stride``-th training text, no longer than ``longest``, of each chunk."""
-    size = STATES + STATES**2 + STATES * SYMBOLS
+def expected_counts(chunks: DataFrame, hmm: Hmm) -> tuple[np.ndarray, float]:
+    """Expected counts over all training texts, and their log10 likelihood."""
+    size = STATES + STATES**2 + STATES * SYMBOLS + 1  # the likelihood comes last
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -269,9 +292,11 @@ def expected_counts(chunks: DataFrame, hmm: Hmm, stride: int = 1, longest: int |
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                train = [s for s, held in zip(_sequences(row), row["held"]) if not held and (longest is None or len(s) <= longest)]
-                for _, b in batches_of(train[::stride]):
-                    total += b.expected(hmm)
+                train = [s for s, held in zip(_sequences(row), row["held"]) if not held]
+                for _, b in batches_of(train):
+                    counts, likely = b.expected_and_likelihood(hmm)
+                    total[:-1] += counts
+                    total[-1] += likely
                     release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
 
@@ -283,7 +308,8 @@ def expected_counts(chunks: DataFrame, hmm: Hmm, stride: int = 1, longest: int |
     sums = needed.mapInArrow(part, "part bigint, total binary")
     groups = max(1, int(needed.rdd.getNumPartitions() ** 0.5))
     found = sums.groupBy(F.pmod("part", F.lit(groups)).alias("set")).applyInArrow(add, "total binary").collect()
-    return sum((np.frombuffer(r.total) for r in found), np.zeros(size))
+    total = sum((np.frombuffer(r.total) for r in found), np.zeros(size))
+    return total[:-1], float(total[-1])
 
 
 def estimate(counts: np.ndarray, background: np.ndarray) -> Hmm:
@@ -303,12 +329,13 @@ def first_guess(background: np.ndarray, seed: int = 11) -> Hmm:
 
 
 def train(chunks: DataFrame, background: np.ndarray) -> Hmm:
-    hmm = first_guess(background)
-    for _ in range(WARM_ROUNDS):
-        hmm = estimate(expected_counts(chunks, hmm, WARM_UP, WARM_TOKENS), background)
-    for _ in range(ROUNDS):
-        hmm = estimate(expected_counts(chunks, hmm), background)
-    return hmm
+    hmm, before = first_guess(background), None
+    while True:
+        counts, likely = expected_counts(chunks, hmm)
+        hmm = estimate(counts, background)
+        if before is not None and likely - before <= TOLERANCE * abs(likely):
+            return hmm
+        before = likely
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -399,6 +399,31 @@ def test_language_model(spark, docs, given, monkeypatch):
     assert hmm.score(cases.empty(spark)).count() == 0
 
 
+def test_long_text_in_segments(monkeypatch):
+    model, text = small_model(), np.random.default_rng(4).integers(0, hmm.SYMBOLS, 103)
+    whole = hmm.Batch([text])
+    expected, likely = whole.expected_and_likelihood(model)
+    assert likely == pytest.approx(whole.likelihoods(model)[0])
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 10)
+    parts = hmm.Batch([text])
+    assert max(e - b for b, e in parts.spans()) == 10
+    assert np.allclose(parts.likelihoods(model), likely) and np.allclose(parts.expected(model), expected)
+    mixed = [text[:23], text[23:40], text[40:41]]
+    assert np.allclose(hmm.Batch(mixed).expected(model), sum(hmm.Batch([s]).expected(model) for s in mixed))
+
+
+def test_every_round_learns_from_all_texts(spark, monkeypatch):
+    rows = [(i, "a few short words" if i % 3 else "one long document " * 500) for i in range(60)]
+    docs, seen, estimate, counted = spark.createDataFrame(rows, "doc_id long, text string"), [], hmm.estimate, hmm.expected_counts
+    likely, all_tokens = [], sum(len(t.split()) + 1 for i, t in rows if not cases.held(i, 7))
+    monkeypatch.setattr(hmm, "estimate", lambda counts, background: (seen.append(counts[-hmm.STATES * hmm.SYMBOLS :].sum()), estimate(counts, background))[1])
+    monkeypatch.setattr(hmm, "expected_counts", lambda *given: (found := counted(*given), likely.append(found[1]))[0])
+    hmm.score(docs)
+    assert seen == pytest.approx([all_tokens] * len(seen))
+    gains = [(b - a) / abs(b) for a, b in zip(likely, likely[1:])]
+    assert all(g > hmm.TOLERANCE for g in gains[:-1]) and gains[-1] <= hmm.TOLERANCE
+
+
 # --- operator 10 ---------------------------------------------------------------------
 
 
