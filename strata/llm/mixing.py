@@ -36,7 +36,6 @@ STEPS = 25
 DAMPING = 1e-3
 TOLERANCE = 1e-4  # of all target tokens
 SLICE_BYTES = 2 << 20
-FULL_RATE = 0.5
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -283,11 +282,11 @@ def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens:
 
 
 def thin(docs: DataFrame, labels: DataFrame, factors: dict[str, float], seed: int = 5) -> DataFrame:
-    """``docs`` without the rows that the rates leave out; a rate of FULL_RATE or more keeps a row for sure."""
+    """``docs`` without the rows that the rates leave out: a row stays with its rate as chance, for sure from 1 on."""
     features = featurise(docs)
     model = fit_classifier(features, labels)
     members = materialize(features.select(posteriors_of_buckets("buckets", "n_tokens", model).alias("m")), "posteriors")
     mix, names, member = fit_rates(members, factors=factors), docs.columns, "_strata_member"
     marked = docs.withColumn(member, posteriors_of_text("text", model))
     rate = mix.rate(F.col(member))
-    return marked.where((rate >= FULL_RATE) | (_chance(F.col("doc_id"), seed) < rate)).select(*names)
+    return marked.where(_chance(F.col("doc_id"), seed) < rate).select(*names)

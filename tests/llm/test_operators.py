@@ -456,3 +456,15 @@ def test_mixing_awkward_documents(spark, docs, given):
     assert mixing.thin(docs, labels, {"clean": 1.0}).columns == docs.columns
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert mixing.thin(docs, none, {}).count() == len(given)
+
+
+def test_thin_meets_targets(spark):
+    kinds = [("fine words ", 1), ("$$ click here ", 0)]
+    rows = [(i, kinds[i % 2][0] + "the same text here for all " * (1 + i % 3)) for i in range(20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, kinds[i % 2][1], 0) for i in range(0, 20000, 3)], "doc_id long, quality int, toxic int")
+    for factor in (0.3, 0.5, 0.7):
+        kept = mixing.thin(docs, labels, {"junk": factor}).collect()
+        for k, share in ((0, 1.0), (1, factor)):
+            tokens = lambda found: sum(len(t.split()) for i, t in found if i % 2 == k)
+            assert tokens(kept) == pytest.approx(share * tokens(rows), rel=0.05)
