@@ -264,3 +264,35 @@ def test_ask(spark):
     assert [c["status"] for c in answer.claims] == ["fact", "fact", "unknown"]
     assert answer.status == "inference"
     assert answer.coverage["coverage"] == 0.6667
+
+
+def test_verify_counts_on_graph_and_module(spark):
+    production = spark.createDataFrame([("r", f"src/p/{n}.py") for n in "abcd"], "repo_id string, file string")
+    pairs = spark.createDataFrame([("r", f"src/p/{x}.py", f"src/p/{y}.py") for x, y in ("ab", "ac", "bc", "dc")], "repo_id string, source string, target string")
+    said = {
+        "The graph contains 4 dependency edges.": "supported",
+        "The graph contains 999 dependency edges.": "unsupported",
+        "There are 4 production modules.": "supported",
+        "There are 5 production modules.": "unsupported",
+        "p.c has the most dependency connections.": "supported",
+        "p.d has the most dependency connections.": "unsupported",
+        "The most connected module is p.c with 3 connections.": "supported",
+        "The most connected module is p.c with 9 connections.": "unsupported",
+        "The module with the fewest connections is p.d.": "supported",
+        "The module with the fewest connections is p.a.": "unsupported",
+        "p.d has the fewest connections with 2 connections.": "unsupported",
+        "p.a has the most outgoing dependencies.": "supported",
+        "p.b has the most outgoing dependencies.": "unsupported",
+        "p.c has the most incoming dependencies, with 3 incoming dependencies.": "supported",
+        "p.a has the most incoming dependencies.": "unsupported",
+        "p.a belongs to the source layer.": "supported",
+        "p.a belongs to the test layer.": "unsupported",
+        "p.a depends on p.b and p.c.": "supported",
+        "p.b depends on p.a.": "unsupported",
+        "p.a has 2 outgoing dependencies.": "supported",
+        "p.a is large.": None,
+    }
+    asked = spark.createDataFrame([("r", c) for c in said], "repo_id string, claim string")
+    assert {r.claim: r.decision for r in claims.verify_counts(asked, graph.modules(production, pairs)).collect()} == said
+    other = asked.withColumn("repo_id", F.lit("elsewhere"))
+    assert {r.decision for r in claims.verify_counts(other, graph.modules(production, pairs)).collect()} == {None}
