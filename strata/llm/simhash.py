@@ -131,16 +131,16 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """doc_id, fp (signed fingerprint) and component_id of every document."""
     marked = materialize(docs.select(F.col("doc_id"), fingerprint_column("text", size).alias("fp")), "fingerprints")
-    return marked.join(_component_of(marked, radius), "fp")
+    return marked.join(_component_of(marked, radius).select("fp", "component_id"), "fp")
 
 
 def _component_of(marked: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of (doc_id, fp)."""
+    """(fp, root, component_id) for each distinct fingerprint of (doc_id, fp); components may share a component_id, never a root."""
     first = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "first-of-fingerprint")
     roots = components(links(first.select("fp"), radius))
     rooted = first.join(roots, first["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def hex_column(fp):
@@ -150,16 +150,15 @@ def hex_column(fp):
 def keep_one_each(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """One document of each component: the one with the smallest doc_id.
 
-    Among rows of that same doc_id one stays, and rows without any doc_id stand
-    for themselves only where a whole component has none.
+    Among rows of that same doc_id the first one stays, and a row without doc_id
+    only where the whole component has none.
     """
     names = docs.columns
-    row, fp, seat = "_strata_row", "_strata_fp", "_strata_component"
+    row, fp, root = "_strata_row", "_strata_fp", "_strata_root"
     stored = materialize(docs.withColumn(fp, fingerprint_column("text", size)).withColumn(row, F.monotonically_increasing_id()), "deduplicated")
     marked = stored.select("doc_id", fp, row)
-    least = _component_of(marked.select("doc_id", F.col(fp).alias("fp")), radius)
-    placed = marked.join(least.withColumnsRenamed({"fp": fp, "component_id": seat}), fp)
-    own = placed.where(F.col("doc_id").eqNullSafe(F.col(seat)))
-    group = F.when(F.col(seat).isNull(), F.col(fp))  # without any doc_id: one row for each fingerprint
-    chosen = own.groupBy(seat, group).agg(F.min(row).alias(row)).select(row)
+    found = _component_of(marked.select("doc_id", F.col(fp).alias("fp")), radius)
+    placed = marked.join(found.select(F.col("fp").alias(fp), F.col("root").alias(root)), fp)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row))
+    chosen = placed.groupBy(root).agg(first.alias("first")).select(F.col("first")[row].alias(row))
     return stored.join(chosen, row, "left_semi").select(*names)

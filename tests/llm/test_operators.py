@@ -468,3 +468,21 @@ def test_thin_meets_targets(spark):
         for k, share in ((0, 1.0), (1, factor)):
             tokens = lambda found: sum(len(t.split()) for i, t in found if i % 2 == k)
             assert tokens(kept) == pytest.approx(share * tokens(rows), rel=0.05)
+
+
+# --- operator 5 in the pipeline ------------------------------------------------------
+
+
+def test_keep_one_each_of_every_group(spark):
+    one, two = "the first text has some words of its own " * 5, "another document says quite other things here " * 5
+    docs = spark.createDataFrame([(1, one), (2, one), (1, two), (3, two)], "doc_id long, text string")
+    assert cases.as_rows(simhash.keep_one_each(docs), "doc_id", "text") == sorted([(1, one), (1, two)], key=repr)
+    base = " ".join(f"word{i}" for i in range(60))
+    nameless = spark.createDataFrame([(None, f"{base} end{i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    prints = {r.fp for r in simhash.near_duplicates(nameless).collect()}
+    groups = []
+    for fp in prints:
+        near = [g for g in groups if any(((fp ^ other) & (2**64 - 1)).bit_count() <= 2 for other in g)]
+        groups = [g for g in groups if g not in near] + [{fp}.union(*near)]
+    assert len(groups) < len(prints)
+    assert simhash.keep_one_each(nameless).count() == len(groups)
