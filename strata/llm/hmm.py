@@ -14,10 +14,10 @@ more share for all tokens never seen.  Every text thus has an exact probability.
 3. Baum-Welch: each chunk sums expected counts over its training texts, groups
    of partitions add them, the driver re-estimates.  Every training text counts
    whole in each round; rounds go on until one gains no more than ``TOLERANCE``
-   of the log likelihood.  A text too long for a batch goes through the
-   recursions in segments, the later ones first.
-4. A scaled forward recursion gives each text's likelihood; all texts of a batch
-   step together.
+   of the log likelihood.  All texts of a chunk step together; beyond
+   ``BATCH_TOKENS`` they go through the recursions in segments, the later ones
+   first.
+4. A scaled forward recursion in double precision gives each text's likelihood.
 
 Held-out texts (crc32 of the doc_id as text, modulo 7, is 2) lend nothing.  Null
 text counts as empty: its only token is the end.  Rows with a null doc_id train.
@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,9 @@ LONG_SYMBOLS = 3071
 END = SHORT_SYMBOLS + LONG_SYMBOLS
 SYMBOLS = END + 1
 CHUNK_BYTES = 12 << 20
-BATCH_TOKENS = 200_000
+BATCH_TOKENS = 3_000_000  # whose state chances are held at once, in single precision
+STEP_TOKENS = 60_000  # in work at a time
+SCALE_EVERY = 4
 TOLERANCE = 1e-4  # of the log likelihood of all training texts
 PRIOR = 200.0
 
@@ -56,38 +59,70 @@ def symbol_of(word: bytes) -> int:
     return SHORT_SYMBOLS + zlib.crc32(word[:2] + b" " + word[-2:]) % LONG_SYMBOLS
 
 
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, (_CRC >> 1) ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def symbols_of(words: pa.Array) -> np.ndarray:
+    """``symbol_of`` for an array of words."""
+    words = words.cast(pa.large_binary())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    begin, size = offsets[:-1], np.diff(offsets)
+    out, crc = np.full(len(words), END, np.uint16), lambda state, byte: _CRC[(state ^ byte) & 0xFF] ^ (state >> np.uint32(8))
+    for n in (1, 2, 3, 4):
+        own = np.flatnonzero(size >= 4 if n == 4 else size == n)
+        first, state = begin[own], np.full(len(own), 0xFFFFFFFF, np.uint32)
+        if n < 4:
+            letters = [data[first + i] for i in range(n)]
+        else:
+            last = first + size[own]
+            letters = [data[first], data[first + 1], np.uint32(32), data[last - 2], data[last - 1]]
+        for byte in letters:
+            state = crc(state, byte)
+        state = ~state
+        out[own] = state % SHORT_SYMBOLS if n < 4 else SHORT_SYMBOLS + state % LONG_SYMBOLS
+    return out
+
+
 class Chunk:
     """Texts as numbers in a dictionary of their own; number 0 is the end."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {b"": 0}
         self.doc_ids: list = []
         self.held: list[bool] = []
-        self.texts: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.words: list[pa.Array] = []
         self.bytes = 0
 
-    def add(self, doc_id, held: bool, text: bytes | None) -> None:
-        words, number = (text or b"").lower().split(), self.number
-        for w in set(words).difference(number):
-            number[w] = len(number)
-        ids = np.empty(len(words) + 1, np.int32)
-        ids[:-1] = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-        ids[-1] = 0
-        self.doc_ids.append(doc_id)
-        self.held.append(held)
-        self.texts.append(ids)
-        self.bytes += len(text or b"")
+    def add(self, doc_ids: list, held: list[bool], texts: pa.Array, size: int) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        flat, offsets = lists.flatten().cast(pa.binary()), np.asarray(lists.offsets)
+        real = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        self.lengths.append(np.diff(before[offsets - offsets[0]]))
+        self.words.append(flat.filter(real))
+        self.doc_ids += doc_ids
+        self.held += held
+        self.bytes += size
 
     def row(self, chunk: int, buckets: int) -> dict:
-        words, tokens = list(self.number), np.concatenate(self.texts)
-        lengths = np.array([len(t) for t in self.texts], np.int32)
+        coded = pa.chunked_array(self.words, pa.binary()).combine_chunks().dictionary_encode()
+        lengths = np.concatenate(self.lengths).astype(np.int32) + 1
+        tokens, ends = np.zeros(int(lengths.sum()), np.int32), np.cumsum(lengths) - 1
+        real = np.ones(len(tokens), bool)
+        real[ends] = False
+        tokens[real] = coded.indices.to_numpy() + 1
+        words = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary])
+        names = words.to_pylist()
         train = np.repeat(~np.array(self.held), lengths)
-        counts = np.bincount(tokens[train], minlength=len(words))
-        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int32, len(words))
+        counts = np.bincount(tokens[train], minlength=len(names))
+        bucket = np.fromiter(map(zlib.crc32, names), np.uint32, len(names)) % buckets
         order = np.argsort(bucket, kind="stable").astype(np.int32)
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         parts = [
-            {"bucket": b, "words": b"\n".join(map(words.__getitem__, own.tolist())), "places": own.tobytes(), "counts": counts[own].tobytes()}
+            {"bucket": b, "words": b"\n".join(map(names.__getitem__, own.tolist())), "places": own.tobytes(), "counts": counts[own].tobytes()}
             for b in range(buckets)
             if len(own := order[edges[b] : edges[b + 1]])
         ]
@@ -97,7 +132,7 @@ class Chunk:
             "held": self.held,
             "lengths": lengths.tobytes(),
             "tokens": tokens.tobytes(),
-            "symbols": np.fromiter(map(symbol_of, words), np.uint16, len(words)).tobytes(),
+            "symbols": symbols_of(words).tobytes(),
             "parts": parts,
         }
 
@@ -122,13 +157,19 @@ def encode(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc_id, held, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())):
-                chunk.add(doc_id.as_py(), held.as_py(), text.as_py())
+            sizes = np.cumsum(pc.binary_length(batch.column(2).fill_null("")).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                room = CHUNK_BYTES - chunk.bytes + (sizes[at - 1] if at else 0)
+                end = min(batch.num_rows, int(np.searchsorted(sizes, room)) + 1)
+                own = batch.slice(at, end - at)
+                chunk.add(own.column(0).to_pylist(), own.column(1).to_pylist(), own.column(2), int(sizes[end - 1] - (sizes[at - 1] if at else 0)))
+                at = end
                 if chunk.bytes >= CHUNK_BYTES:
                     yield row()
                     number, chunk = number + 1, Chunk()
                     release_memory()
-        if chunk.texts:
+        if chunk.doc_ids:
             yield row()
         chunk = Chunk()
         release_memory()
@@ -176,57 +217,83 @@ class Hmm:
     emit: np.ndarray  # (states, symbols)
 
 
+@dataclass(frozen=True)
+class Tables:
+    """A model for the recursions.  Emissions are relative to their mean over states, which keeps a few steps in range unscaled."""
+
+    start: np.ndarray
+    move: np.ndarray
+    back: np.ndarray
+    emit: np.ndarray  # (symbols, states)
+    mean: np.ndarray  # log10, (symbols)
+
+    @classmethod
+    def of(cls, hmm: Hmm, kind: type) -> Tables:
+        mean = hmm.emit.mean(axis=0)
+        move, emit = hmm.move.astype(kind), (hmm.emit / mean).T
+        return cls(hmm.start.astype(kind), move, np.ascontiguousarray(move.T), np.ascontiguousarray(emit, dtype=kind), np.log10(mean))
+
+
 class Batch:
     """Sequences in step: longest first, laid out by time."""
 
     def __init__(self, sequences: list[np.ndarray]):
         lengths = np.array([len(s) for s in sequences])
         self.order = np.argsort(-lengths, kind="stable")
-        sorted_lengths = lengths[self.order]
-        flat = np.concatenate([sequences[i] for i in self.order])
-        begins = np.cumsum(sorted_lengths) - sorted_lengths
-        self.active = len(lengths) - np.searchsorted(sorted_lengths[::-1], np.arange(sorted_lengths[0]), "right")
+        self.lengths = lengths[self.order]
+        self.active = len(lengths) - np.searchsorted(self.lengths[::-1], np.arange(self.lengths[0]), "right")
         self.offsets = np.concatenate([[0], np.cumsum(self.active)])
-        time = np.arange(len(flat)) - np.repeat(begins, sorted_lengths)
-        self.owner = np.empty(len(flat), np.int64)
-        at = self.offsets[time] + np.repeat(np.arange(len(lengths)), sorted_lengths)
-        self.symbols = np.empty(len(flat), flat.dtype)
-        self.symbols[at] = flat
-        self.owner[at] = np.repeat(np.arange(len(lengths)), sorted_lengths)
-
-    def spans(self) -> list[tuple[int, int]]:
-        """Runs of steps of at most BATCH_TOKENS tokens; all steps, but for a text that is longer."""
-        out, at = [], 0
-        while at < len(self.active):
-            end = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + BATCH_TOKENS, "right")) - 1)
-            out.append((at, end))
-            at = end
+        self.symbols = np.empty(int(self.offsets[-1]), sequences[0].dtype)
+        for rank, i in enumerate(self.order.tolist()):
+            self.symbols[self.offsets[: lengths[i]] + rank] = sequences[i]
+
+    def spans(self, tokens: int | None = None, begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+        """Runs of the steps of at most so many tokens (BATCH_TOKENS), but for a single step that is more."""
+        out, end = [], len(self.active) if end is None else end
+        while begin < end:
+            stop = int(np.searchsorted(self.offsets, self.offsets[begin] + (tokens or BATCH_TOKENS), "right")) - 1
+            out.append((begin, min(end, max(begin + 1, stop))))
+            begin = out[-1][1]
         return out
 
-    def forward(self, hmm: Hmm, span: tuple[int, int], a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled state chances, scales, and emission chances of a span; ``a`` has the chances before it."""
-        active, offsets = self.active[span[0] : span[1]].tolist(), (self.offsets[span[0] : span[1] + 1] - self.offsets[span[0]]).tolist()
-        seen = np.ascontiguousarray(hmm.emit.T).take(self.symbols[self.offsets[span[0]] : self.offsets[span[1]]], axis=0)
-        chances, scale, ones = np.empty_like(seen), np.empty(len(seen)), np.ones(len(hmm.start))
-        for n, o in zip(active, offsets):
-            own, c = chances[o : o + n], scale[o : o + n]
+    def forward(self, model: Tables, span: tuple[int, int], a: np.ndarray | None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """State chances of a span, and the scales of every SCALE_EVERY-th step; ``a`` has the chances before it."""
+        begin, end = span
+        first, active, ones = self.offsets[begin], self.active[begin:end].tolist(), np.ones(len(model.start), model.start.dtype)
+        chances, scales, o = model.emit.take(self.symbols[first : self.offsets[end]], axis=0), {}, 0
+        room = np.empty((active[0], len(ones)), ones.dtype)
+        for t, n in enumerate(active, begin):
+            own = chances[o : o + n]
             if a is None:
-                np.multiply(hmm.start, seen[:n], out=own)
+                own *= model.start
             else:
-                np.matmul(a[:n], hmm.move, out=own)
-                own *= seen[o : o + n]
-            np.matmul(own, ones, out=c)
-            own /= c[:, None]
-            a = own
-        return chances, scale, seen
+                own *= np.matmul(a[:n], model.move, out=room[:n])
+            if t % SCALE_EVERY == 0:
+                scales[t] = own @ ones
+                own /= scales[t][:, None]
+            a, o = own, o + n
+        return chances, scales
+
+    def _ending(self, chances: np.ndarray, span: tuple[int, int]) -> tuple[slice, np.ndarray]:
+        """Ranks of sequences that end in a span, and the sums of their last chances."""
+        begin, end = span
+        ranks = np.arange(self.active[end] if end < len(self.active) else 0, self.active[begin])
+        last = self.offsets[self.lengths[ranks] - 1] + ranks - self.offsets[begin]
+        return slice(ranks[0], ranks[-1] + 1) if len(ranks) else slice(0, 0), chances[last].sum(axis=1)
 
     def likelihoods(self, hmm: Hmm) -> np.ndarray:
         """log10 likelihood of each sequence, in the order given."""
-        found, a = np.zeros(len(self.order)), None
-        for span in self.spans():
-            chances, scale, _ = self.forward(hmm, span, a)
+        found, a, model = np.zeros(len(self.order)), None, Tables.of(hmm, np.float64)
+        for span in self.spans(STEP_TOKENS):
+            chances, scales = self.forward(model, span, a)
             a = chances[-self.active[span[1] - 1] :].copy()
-            found += np.bincount(self.owner[self.offsets[span[0]] : self.offsets[span[1]]], np.log10(scale), len(self.order))
+            for c in scales.values():
+                found[: len(c)] += np.log10(c)
+            ranks, sums = self._ending(chances, span)
+            found[ranks] += np.log10(sums)
+            mean = model.mean[self.symbols[self.offsets[span[0]] : self.offsets[span[1]]]]
+            owner = np.arange(len(mean)) - np.repeat(self.offsets[span[0] : span[1]] - self.offsets[span[0]], self.active[span[0] : span[1]])
+            found += np.bincount(owner, mean, len(found))
         out = np.empty(len(self.order))
         out[self.order] = found
         return out
@@ -237,42 +304,51 @@ class Batch:
 
     def expected_and_likelihood(self, hmm: Hmm) -> tuple[np.ndarray, float]:
         """Expected counts, and the log10 likelihood of all sequences together."""
-        k, spans, before, likely = len(hmm.start), self.spans(), [None], 0.0
+        model = Tables.of(hmm, np.float32)
+        k, spans, before, likely = len(model.start), self.spans(), [None], 0.0
         for span in spans[:-1]:
-            before.append(self.forward(hmm, span, before[-1])[0][-self.active[span[1] - 1] :].copy())
-        moves, emits, back = np.zeros((k, k)), np.zeros((k, SYMBOLS)), np.ascontiguousarray(hmm.move.T)
-        b = np.ones((int(self.active[0]), k))
-        for (begin, end), a in zip(reversed(spans), reversed(before)):
-            alpha, scale, w = self.forward(hmm, (begin, end), a)
-            likely += float(np.log10(scale).sum())
-            w /= scale[:, None]
-            active, offsets = self.active[begin:end].tolist(), (self.offsets[begin : end + 1] - self.offsets[begin]).tolist()
-            for t in range(len(active) - 1, -1, -1):
-                n, o = active[t], offsets[t]
-                come = alpha[offsets[t - 1] : offsets[t - 1] + n] if t else a
-                alpha[o : o + n] *= b[:n]
-                if come is None:
-                    break
-                own = w[o : o + n]
-                own *= b[:n]
-                moves += come[:n].T @ own
-                np.matmul(own, back, out=b[:n])
-            emits += np.stack([np.bincount(self.symbols[self.offsets[begin] : self.offsets[end]], x, SYMBOLS) for x in np.ascontiguousarray(alpha.T)])
-        return np.concatenate([alpha[: self.active[0]].sum(axis=0), (moves * hmm.move).ravel(), emits.ravel()]), likely
-
-
-def batches_of(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], Batch]]:
-    """Batches of like lengths with the places of their sequences."""
-    place: list[int] = []
-    held = 0
-    for i in sorted(range(len(sequences)), key=lambda i: -len(sequences[i])):
-        if place and held + len(sequences[i]) > BATCH_TOKENS:
-            yield place, Batch([sequences[j] for j in place])
-            place, held = [], 0
-        place.append(i)
-        held += len(sequences[i])
-    if place:
-        yield place, Batch([sequences[j] for j in place])
+            before.append(self.forward(model, span, before[-1])[0][-self.active[span[1] - 1] :].copy())
+        moves, emits, b = np.zeros((k, k)), np.zeros((k, SYMBOLS)), np.empty((int(self.active[0]), k), model.start.dtype)
+        for span, a in zip(reversed(spans), reversed(before)):
+            first = self.offsets[span[0]]
+            alpha, scales = self.forward(model, span, a)
+            ranks, sums = self._ending(alpha, span)
+            b[ranks] = 1
+            likely += sum(float(np.log10(c).sum(dtype=np.float64)) for c in scales.values()) + float(np.log10(sums).sum(dtype=np.float64))
+            for begin, end in reversed(self.spans(STEP_TOKENS, *span)):
+                lo, hi = self.offsets[begin], self.offsets[end]
+                symbols, active, o = self.symbols[lo:hi], self.active[begin:end].tolist(), int(hi - lo)
+                likely += float(model.mean[symbols].sum())
+                after = model.emit.take(symbols, axis=0)
+                seen = np.empty_like(after)
+                for t in range(end - 1, begin - 1, -1):
+                    n = active[t - begin]
+                    o -= n
+                    own, bn = after[o : o + n], b[:n]
+                    seen[o : o + n] = bn
+                    own *= bn
+                    if t in scales:
+                        own /= scales[t][:, None]
+                    np.matmul(own, model.back, out=bn)
+                # Each token's chances sum to one, whatever single precision has lost on the way.
+                seen *= alpha[lo - first : hi - first]
+                share = 1 / seen.sum(axis=1, keepdims=True)
+                seen *= share
+                after *= share
+                if begin > span[0]:
+                    moves += alpha[self._previous(begin, end) - first].T @ after
+                else:
+                    own = self.active[begin]
+                    moves += alpha[self._previous(begin + 1, end) - first].T @ after[own:]
+                    if a is not None:
+                        moves += a[:own].T @ after[:own]
+                emits += np.stack([np.bincount(symbols, x, SYMBOLS) for x in np.ascontiguousarray(seen.T)])
+        starts = seen[: self.active[0]].sum(axis=0, dtype=np.float64)  # the first steps come last
+        return np.concatenate([starts, (moves * model.move).ravel(), emits.ravel()]), likely
+
+    def _previous(self, begin: int, end: int) -> np.ndarray:
+        """Places of the tokens before those of some steps, all of them after the first step."""
+        return np.arange(self.offsets[begin], self.offsets[end]) - np.repeat(self.active[begin - 1 : end - 1], self.active[begin:end])
 
 
 def _sequences(row: dict) -> list[np.ndarray]:
@@ -293,11 +369,12 @@ def expected_counts(chunks: DataFrame, hmm: Hmm) -> tuple[np.ndarray, float]:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 train = [s for s, held in zip(_sequences(row), row["held"]) if not held]
-                for _, b in batches_of(train):
-                    counts, likely = b.expected_and_likelihood(hmm)
+                if train:
+                    counts, likely = Batch(train).expected_and_likelihood(hmm)
                     total[:-1] += counts
                     total[-1] += likely
-                    release_memory()
+                del row, train
+                release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
 
     def add(table: pa.Table) -> pa.Table:
@@ -338,11 +415,15 @@ def train(chunks: DataFrame, background: np.ndarray) -> Hmm:
         before = likely
 
 
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets of words: four for each partition of the input, so that a bucket's share of all dictionaries stays small."""
+    return min(4096, max(16, 4 * docs.rdd.getNumPartitions()))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = encode(docs, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    chunks = encode(docs, buckets_for(docs))
     counted = count_words(chunks)
     totals = counted.select(F.explode("totals").alias("t")).groupBy("t.symbol").agg(F.sum("t.tokens").alias("tokens"), F.sum("t.kinds").alias("kinds"))
     tokens, kinds = np.zeros(SYMBOLS, np.int64), np.zeros(SYMBOLS, np.int64)
@@ -368,14 +449,12 @@ def score(docs: DataFrame) -> DataFrame:
                 per_doc = lambda values: np.add.reduceat(values[ids], begins)
                 base = per_doc(np.log10((count + 1) / (all_tokens + all_kinds + 1)))
                 own = per_doc(np.log10((count + 1) / share[symbols]))
-                sequences, chain = _sequences(row), np.empty(len(lengths))
-                for place, b in batches_of(sequences):
-                    chain[place] = b.likelihoods(hmm)
-                    release_memory()
+                chain = Batch(_sequences(row)).likelihoods(hmm)
                 known = per_doc((count > 0).astype(np.int64))
                 arrays = [one.column("doc_ids").flatten(), pa.array(row["held"], pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(known)]
                 arrays += [pa.array(np.full(len(lengths), all_tokens, np.int64)), pa.array(base), pa.array(own + chain)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+                release_memory()
 
     back = counted.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("places", "counts")).alias("found"))
     joined = chunks.select("chunk", "doc_ids", "held", "lengths", "tokens", "symbols").join(back, F.col("chunk") == F.col("of"))
