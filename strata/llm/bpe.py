@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.batches import released
+
 SHORT = 128
 CACHE = 400_000
 NEVER = 1 << 60
@@ -174,6 +176,7 @@ def encode_column(text, path: str):
     """Column of id lists (array<int>) for a text column."""
 
     @F.arrow_udf("array<int>")
+    @released
     def encode(texts: pa.Array) -> pa.Array:
         # One text's ids at a time: as Python lists, those of a batch would fill the memory.
         bpe = load(path)
@@ -188,6 +191,7 @@ def decode_column(ids, path: str):
     """Column of texts for a column of id lists; null ids give an empty text."""
 
     @F.arrow_udf("string")
+    @released
     def decode(rows: pa.Array) -> pa.Array:
         bpe = load(path)
         return pa.array([bpe.decode(r.values.to_numpy().tolist() if r.is_valid else ()) for r in rows], pa.string())

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.batches import release_memory, released
 from strata.storage import materialize
 
 DOMAINS = ("clean", "junk", "toxic")
@@ -152,6 +153,7 @@ def featurise(docs: DataFrame) -> DataFrame:
         for batch in batches:
             counts, buckets = word_buckets(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([b.tobytes() for b in buckets], pa.binary())], ["doc_id", "n_tokens", "buckets"])
+            release_memory()
 
     return materialize(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, buckets binary"), "word-buckets")
 
@@ -205,6 +207,7 @@ def _as_struct(p: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 def posteriors_of_buckets(buckets: str, n_tokens: str, model: Classifier) -> Column:
     @F.arrow_udf(_posterior_struct())
+    @released
     def run(rows: pa.Array, counts: pa.Array) -> pa.Array:
         return _as_struct(model.posteriors([np.frombuffer(b, np.uint32) for b in rows.to_pylist()]), counts.to_numpy())
 
@@ -213,6 +216,7 @@ def posteriors_of_buckets(buckets: str, n_tokens: str, model: Classifier) -> Col
 
 def posteriors_of_text(text: str, model: Classifier) -> Column:
     @F.arrow_udf(_posterior_struct())
+    @released
     def run(texts: pa.Array) -> pa.Array:
         counts, buckets = word_buckets(texts)
         return _as_struct(model.posteriors(buckets), counts)

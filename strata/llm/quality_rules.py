@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.batches import released
 from strata.storage import materialize
 
 SPACE = b" \t\n\r\x0b\x0c"
@@ -77,6 +78,7 @@ def features(text: str) -> Column:
     """Column of structs of counts for a text column."""
 
     @F.arrow_udf("struct<" + ",".join(f"{f}:bigint" for f in FEATURES) + ">")
+    @released
     def run(texts: pa.Array) -> pa.Array:
         rows = [count_features(t) for t in texts.cast(pa.binary()).to_pylist()]
         columns = zip(*rows) if rows else [()] * len(FEATURES)

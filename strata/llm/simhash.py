@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.batches import release_memory, released
 from strata.llm.components import components
 from strata.storage import materialize
 
@@ -54,6 +55,7 @@ def fingerprint_column(text, size: int = 3):
     """Column of fingerprints as signed 64-bit integers."""
 
     @F.arrow_udf("bigint")
+    @released
     def run(texts: pa.Array) -> pa.Array:
         found = [fingerprint(t, size) for t in texts.cast(pa.binary()).to_pylist()]
         return pa.array(np.array(found, np.uint64).view(np.int64))
@@ -96,6 +98,7 @@ def _compare(radius: int):
                 dst.append(v.view(np.int64))
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["src", "dst"])
+            release_memory()
 
     return run
 
