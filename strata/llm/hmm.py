@@ -44,7 +44,7 @@ SHORT_SYMBOLS = 1024
 LONG_SYMBOLS = 3071
 END = SHORT_SYMBOLS + LONG_SYMBOLS
 SYMBOLS = END + 1
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BATCH_TOKENS = 3_000_000  # whose state chances are held at once, in single precision
 STEP_TOKENS = 60_000  # in work at a time
 SCALE_EVERY = 4
@@ -122,7 +122,7 @@ class Chunk:
         order = np.argsort(bucket, kind="stable").astype(np.int32)
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         parts = [
-            {"bucket": b, "words": b"\n".join(map(names.__getitem__, own.tolist())), "places": own.tobytes(), "counts": counts[own].tobytes()}
+            {"bucket": b, "words": b"\n".join(map(names.__getitem__, own.tolist())), "places": own.tobytes(), "counts": counts[own].astype(np.int32).tobytes()}
             for b in range(buckets)
             if len(own := order[edges[b] : edges[b + 1]])
         ]
@@ -183,7 +183,7 @@ def count_words(chunks: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         total: dict[bytes, int] = {}
-        rows = [(r["words"].split(b"\n"), np.frombuffer(r["counts"], np.int64)) for r in table.select(["words", "counts"]).to_pylist()]
+        rows = [(r["words"].split(b"\n"), np.frombuffer(r["counts"], np.int32)) for r in table.select(["words", "counts"]).to_pylist()]
         for words, counts in rows:
             for w, c in zip(words, counts.tolist()):
                 total[w] = total.get(w, 0) + c
