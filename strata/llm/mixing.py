@@ -15,7 +15,6 @@ has none.  Targets for a domain that no document belongs to stay unmet, which
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +40,7 @@ SLICE_BYTES = 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BREAK = _SPACE.copy()
-_BREAK[[ord(c) for c in ",.;:?\"'()"]] = True
+_BREAK[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,7 +73,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of each text by white space, and the distinct buckets of its words shorn of common marks."""
+    """Words of each text by white space, and the distinct buckets of its words, which marks break."""
     counts, buckets = [], []
     for data, offsets in _slices(texts):
         many = len(offsets) - 1
@@ -159,12 +158,12 @@ def featurise(docs: DataFrame) -> DataFrame:
 
 
 def fit_classifier(features: DataFrame, labels: DataFrame) -> Classifier:
-    """Document frequencies by domain over all labelled documents, summed by partition and then by groups of partitions."""
-    size = len(DOMAINS) * (BUCKETS + 1)
+    """Document frequencies by domain over all labelled documents, counted in partitions and summed by bucket.
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    One row for each bucket comes to the driver, however large the corpus.
+    """
 
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
         for batch in batches:
             domain = batch.column(1).to_numpy(zero_copy_only=False)
@@ -174,25 +173,20 @@ def fit_classifier(features: DataFrame, labels: DataFrame) -> Classifier:
                 total[k, BUCKETS] += len(own)
                 if own:
                     total[k, :BUCKETS] += np.bincount(np.concatenate(own), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(total)], pa.binary())], ["part", "total"])
-
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"total": pa.array([pack(sum(unpack(b.as_py()) for b in table.column("total")))], pa.binary())})
-
-    def pack(counts: np.ndarray) -> bytes:
-        return zlib.compress(counts.tobytes(), 1)  # nearly all zeros
-
-    def unpack(raw: bytes) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(raw), np.int64)
+        some = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(total[k, some]) for k in range(len(DOMAINS)))], ["bucket", *DOMAINS])
 
     known = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     known = known.select("labelled", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null")
     # Labels grow with the corpus: the join is a sort-merge one at every size.
     rows = features.join(known.hint("merge"), F.col("doc_id") == F.col("labelled")).select("buckets", "domain")
-    sums = rows.mapInArrow(part, "part bigint, total binary")
-    groups = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
-    found = sums.groupBy(F.pmod("part", F.lit(groups)).alias("set")).applyInArrow(add, "total binary").collect()
-    total = sum((unpack(r.total) for r in found), np.zeros(size, np.int64)).reshape(len(DOMAINS), BUCKETS + 1)
+    counted = rows.mapInArrow(part, "bucket bigint, " + ", ".join(f"{d} bigint" for d in DOMAINS))
+    sums = counted.groupBy("bucket").agg(*(F.sum(d).alias(d) for d in DOMAINS))
+    # Words of few documents mark no domain.
+    sums = sums.where((F.col("bucket") == BUCKETS) | (sum(map(F.col, DOMAINS), F.lit(0)) >= LEAST_DOCS)).toArrow()
+    total = np.zeros((len(DOMAINS), BUCKETS + 1), np.int64)
+    for k, d in enumerate(DOMAINS):
+        total[k, sums.column("bucket").to_numpy()] = sums.column(d).to_numpy()
     return estimate(total[:, :BUCKETS], total[:, BUCKETS])
 
 
