@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 # Amplitude bits of every stored coefficient.
 CATEGORY = 8
 BATCH_BYTES = 2 << 20
+SLICE = 1 << 14  # blocks or restart intervals in work at a time
 
 
 def zigzag() -> np.ndarray:
@@ -46,29 +47,33 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def encode(payload: bytes) -> bytes:
-    """A JPEG that holds ``payload`` (a positive multiple of 64 bytes); a comment gives its units."""
-    units = len(payload) // 64
-    wide = math.isqrt(units - 1) + 1
-    high = -(-units // wide)
-    blocks = np.zeros((wide * high, 64), np.uint8)
-    blocks[:units] = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+def _scan_of(payload: bytes, begin: int, end: int, many: int) -> bytes:
+    """Coded blocks ``begin`` to ``end`` of ``many``; blocks that the payload does not reach are zeros."""
+    blocks = np.zeros((end - begin, 64), np.uint8)
+    blocks[: len(payload) // 64] = np.frombuffer(payload, np.uint8).reshape(-1, 64)
     # Each coefficient is the code 0 and its eight bits: 72 bytes a block.
     bits = np.zeros((len(blocks), 64, 9), np.uint8)
     bits[:, :, 1:] = np.unpackbits(blocks, axis=1).reshape(-1, 64, 8)
     coded = np.packbits(bits.reshape(len(blocks), 576), axis=1)
     # Room for stuffing after 0xFF and for the restart marker behind each block but the last.
-    full = coded == 0xFF
-    out = np.zeros((len(blocks), 72, 2), np.uint8)
-    out[:, :, 0] = coded
-    used = np.ones((len(blocks), 72, 2), bool)
-    used[:, :, 1] = full
-    restart = np.empty((len(blocks), 2), np.uint8)
-    restart[:, 0] = 0xFF
-    restart[:, 1] = 0xD0 + np.arange(len(blocks)) % 8
-    row = np.concatenate([out.reshape(len(blocks), 144), restart], axis=1)
-    keep = np.concatenate([used.reshape(len(blocks), 144), np.ones((len(blocks), 2), bool)], axis=1)
-    keep[-1, 144:] = False
+    out = np.zeros((len(blocks), 146), np.uint8)
+    out[:, 0:144:2] = coded
+    out[:, 144] = 0xFF
+    out[:, 145] = 0xD0 + np.arange(begin, end) % 8
+    keep = np.ones((len(blocks), 146), bool)
+    keep[:, 1:144:2] = coded == 0xFF
+    if end == many:
+        keep[-1, 144:] = False
+    return out[keep].tobytes()
+
+
+def encode(payload: bytes) -> bytes:
+    """A JPEG that holds ``payload`` (a positive multiple of 64 bytes); a comment gives its units."""
+    units = len(payload) // 64
+    wide = math.isqrt(units - 1) + 1
+    high = -(-units // wide)
+    many = wide * high
+    parts = [_scan_of(payload[64 * at : 64 * (at + SLICE)], at, min(many, at + SLICE), many) for at in range(0, many, SLICE)]
     table = bytes([1] + [0] * 15) + bytes([CATEGORY])
     return b"".join(
         [
@@ -80,7 +85,7 @@ def encode(payload: bytes) -> bytes:
             _segment(0xC4, bytes([0x00]) + table + bytes([0x10]) + table),
             _segment(0xDD, struct.pack(">H", 1)),
             _segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0])),
-            row[keep].tobytes(),
+            *parts,
             b"\xff\xd9",
         ]
     )
@@ -196,19 +201,18 @@ def intervals(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     within = full < stop
     full, after = full[within], after[within]
     marks = full[(after >= 0xD0) & (after <= 0xD7)]
+    gone = np.sort(np.concatenate([full[after == 0] + 1, marks, marks + 1]))
+    gone = gone[gone < stop]
     keep = np.ones(stop, bool)
-    keep[full[after == 0] + 1] = False
-    keep[marks] = False
-    keep[marks + 1] = False
-    position = np.concatenate([[0], np.cumsum(keep)])
-    edges = np.concatenate([[0], position[marks], [position[stop]]])
+    keep[gone] = False
+    edges = np.concatenate([[0], marks - np.searchsorted(gone, marks), [stop - len(gone)]])
     return raw[:stop][keep], edges[:-1], edges[1:]
 
 
 def decode_scans(pictures: list[Picture]) -> list[list[np.ndarray]]:
     """Quantised coefficients in scan order, by picture and block of the MCU: (MCUs, 64) each.
 
-    Works on all restart intervals of all pictures at once.
+    Works on the restart intervals of all pictures, a slice of them at once.
     """
     chunks, begin, owner, mcus, base, at = [], [], [], [], [], 0
     for k, p in enumerate(pictures):
@@ -226,9 +230,8 @@ def decode_scans(pictures: list[Picture]) -> list[list[np.ndarray]]:
         starts = np.arange(many) * each
         base.append(starts)
         mcus.append(np.minimum(each, total - starts))
-    stream = np.concatenate([*chunks, np.zeros(8, np.uint8)]).astype(np.uint32)
-    words = (stream[:-3] << 24) | (stream[1:-2] << 16) | (stream[2:-1] << 8) | stream[3:]  # 32 bits from each byte on
-    place, owner, mcus, base = (np.concatenate(x) for x in (begin, owner, mcus, base))
+    stream = np.concatenate([*chunks, np.zeros(8, np.uint8)])
+    places, owners, runs, bases = (np.concatenate(x) for x in (begin, owner, mcus, base))
     specs: dict[bytes, int] = {}
     depth = max(len(p.layout()) for p in pictures)
     dc, ac, comp = (np.zeros((len(pictures), depth), np.int64) for _ in range(3))
@@ -247,8 +250,6 @@ def decode_scans(pictures: list[Picture]) -> list[list[np.ndarray]]:
         for b in range(len(blocks)):
             offset[k, b] = flat[at]
             at += 1
-    prediction = np.zeros((len(owner), 1 + int(comp.max())), np.int64)
-
     def peek(pos: np.ndarray) -> np.ndarray:
         """16 bits from each position on."""
         return ((words[pos >> 3] >> (16 - (pos & 7)).astype(np.uint32)) & np.uint32(0xFFFF)).astype(np.int64)
@@ -263,45 +264,53 @@ def decode_scans(pictures: list[Picture]) -> list[list[np.ndarray]]:
         raw = peek(pos) >> (16 - bits)
         return np.where((bits > 0) & (raw < (1 << np.maximum(bits - 1, 0))), raw - (1 << bits) + 1, raw)
 
-    for m in range(int(mcus.max())):
-        for b in range(depth):
-            live = np.flatnonzero((mcus > m) & (size[owner] > b))
-            if not len(live):
-                continue
-            who, pos = owner[live], place[live]
-            target = offset[who, b] + 64 * (base[live] + m)
-            bits, used = symbol(pos, dc[who, b])
-            pos = pos + used
-            seat = comp[who, b]
-            prediction[live, seat] += amplitude(pos, bits)
-            whole[target] = prediction[live, seat]
-            pos += bits
-            table, k = ac[who, b], np.ones(len(live), np.int64)
-            left = np.arange(len(live))  # blocks with coefficients to come
-            every = True
-            while len(left):
-                p, kk = (pos, k) if every else (pos[left], k[left])
-                code, used = symbol(p, table if every else table[left])
-                run, bits = code >> 4, code & 15
-                p = p + used
-                ends = (bits == 0) & (run != 15)
-                kk = kk + run
-                value = bits > 0
-                if value.all():
-                    whole[(target if every else target[left]) + kk] = amplitude(p, bits)
-                else:
-                    rows = left[value]
-                    whole[target[rows] + kk[value]] = amplitude(p[value], bits[value])
-                p += bits
-                kk = np.where(ends, 64, kk + 1)
-                if every:
-                    pos, k = p, kk
-                else:
-                    pos[left], k[left] = p, kk
-                more = kk < 64
-                if not more.all():
-                    left, every = left[more], False
-            place[live] = pos
+    for lo in range(0, len(owners), SLICE):
+        owner, mcus, base = owners[lo : lo + SLICE], runs[lo : lo + SLICE], bases[lo : lo + SLICE]
+        first = int(places[lo] >> 3)
+        last = int(places[lo + SLICE] >> 3) + 8 if lo + SLICE < len(places) else len(stream)
+        own = stream[first:last].astype(np.uint32)
+        words = (own[:-3] << 24) | (own[1:-2] << 16) | (own[2:-1] << 8) | own[3:]  # 32 bits from each byte on
+        place = places[lo : lo + SLICE] - 8 * first
+        prediction = np.zeros((len(owner), 1 + int(comp.max())), np.int64)
+        for m in range(int(mcus.max())):
+            for b in range(depth):
+                live = np.flatnonzero((mcus > m) & (size[owner] > b))
+                if not len(live):
+                    continue
+                who, pos = owner[live], place[live]
+                target = offset[who, b] + 64 * (base[live] + m)
+                bits, used = symbol(pos, dc[who, b])
+                pos = pos + used
+                seat = comp[who, b]
+                prediction[live, seat] += amplitude(pos, bits)
+                whole[target] = prediction[live, seat]
+                pos += bits
+                table, k = ac[who, b], np.ones(len(live), np.int64)
+                left = np.arange(len(live))  # blocks with coefficients to come
+                every = True
+                while len(left):
+                    p, kk = (pos, k) if every else (pos[left], k[left])
+                    code, used = symbol(p, table if every else table[left])
+                    run, bits = code >> 4, code & 15
+                    p = p + used
+                    ends = (bits == 0) & (run != 15)
+                    kk = kk + run
+                    value = bits > 0
+                    if value.all():
+                        whole[(target if every else target[left]) + kk] = amplitude(p, bits)
+                    else:
+                        rows = left[value]
+                        whole[target[rows] + kk[value]] = amplitude(p[value], bits[value])
+                    p += bits
+                    kk = np.where(ends, 64, kk + 1)
+                    if every:
+                        pos, k = p, kk
+                    else:
+                        pos[left], k[left] = p, kk
+                    more = kk < 64
+                    if not more.all():
+                        left, every = left[more], False
+                place[live] = pos
     return [[whole[flat[i] : flat[i + 1]].reshape(-1, 64) for i in range(a, a + len(blocks))] for a, blocks in zip(np.cumsum([0, *(len(o) for o in out)]), out)]
 
 
@@ -325,7 +334,7 @@ def payload_of(picture: Picture, blocks: np.ndarray) -> bytes:
     """The bytes that ``encode`` stored."""
     units = int(picture.comment.split()[1])
     values = blocks[:units]
-    return np.where(values > 0, values, values + 255).astype(np.uint8).tobytes()
+    return (values.astype(np.uint8) - (values < 0)).astype(np.uint8, copy=False).tobytes()  # a negative v stands for v + 255
 
 
 def average_hash(thumb: np.ndarray) -> str:
