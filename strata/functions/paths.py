@@ -74,10 +74,8 @@ def retrieval_role(path: Column) -> Column:
 
 def module_name(path: Column) -> Column:
     """Dotted name: without a leading src, the suffix, and a last __init__."""
-    steps = F.split(F.regexp_replace(posix(path), r"\.py$", ""), "/")
-    steps = F.when((F.size(steps) > 1) & (steps[0] == "src"), F.slice(steps, 2, F.size(steps))).otherwise(steps)
-    steps = F.when((F.size(steps) > 1) & (F.element_at(steps, -1) == "__init__"), F.slice(steps, 1, F.size(steps) - 1)).otherwise(steps)
-    return F.array_join(steps, ".")
+    bare = F.regexp_replace(F.regexp_replace(posix(path), r"\.py$", ""), "^src/", "")
+    return F.translate(F.regexp_replace(bare, "/__init__$", ""), "/", ".")
 
 
 def test_candidates(path: Column) -> Column:

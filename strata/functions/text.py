@@ -6,6 +6,8 @@ selection, metadata and architecture lookups each read text in their own way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _alias_map(table: dict[str, list[str]]) -> Column:
     return F.create_map(*(x for k, v in table.items() for x in (F.lit(k), words(v))))
 
@@ -155,7 +162,7 @@ def _contains_any(text: Column, phrases: list[str]) -> Column:
 
 
 def is_identity_question(query: Column) -> Column:
-    low = F.lower(query)
+    low = F.regexp_replace(F.lower(query), "[^a-z0-9]+", " ")
     return F.coalesce(_contains_any(low, vocab.IDENTITY_SCOPES) & _contains_any(low, vocab.IDENTITY_TERMS), F.lit(False))
 
 

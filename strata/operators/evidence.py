@@ -28,13 +28,14 @@ def with_connections(modules: DataFrame, n: int) -> DataFrame:
 
 
 def lookup_modules(modules: DataFrame, query: str, k: int = 5) -> DataFrame:
-    """Modules whose words meet the query's: by exact name, shared words, connections and name."""
+    """Each repository's k modules whose words meet the query's: by exact name, shared words, connections and name."""
     asked = text.architecture_tokens(F.lit(query))
     own = text.architecture_tokens(F.concat_ws(" ", "module_name", "file"))
     shared = F.size(F.array_intersect(asked, own)).cast("bigint")
     exact = F.lit(query.lower()).contains(F.lower("module_name")).cast("bigint")
     found = modules.select(KEY, "module_name", "file", "total_connections", exact.alias("exact"), shared.alias("shared")).where("shared > 0")
-    return found.orderBy(F.desc("exact"), F.desc("shared"), F.desc("total_connections"), "module_name").limit(k)
+    order = Window.partitionBy(KEY).orderBy(F.desc("exact"), F.desc("shared"), F.desc("total_connections"), "module_name")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
 def overview(files: DataFrame, edges: DataFrame, modules: DataFrame, module_edges: DataFrame, signals: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ work on distinct pairs.  All operators are keyed by ``repo_id``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,20 +143,25 @@ def top_connected(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
-    """One row a repository: counts, isolated nodes sorted, most connected nodes by rank."""
-    counts = nodes.groupBy(KEY).agg(F.count("*").alias("node_count"))
-    edge_counts = edges.groupBy(KEY).agg(F.count("*").alias("edge_count"))
-    alone = isolated(nodes, edges).groupBy(KEY).agg(F.sort_array(F.collect_list("id")).alias("isolated_nodes"))
-    top = top_connected(nodes, edges, k).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("ranked"))
-    joined = counts.join(edge_counts, KEY, "left").join(alone, KEY, "left").join(top, KEY, "left")
-    none = F.array().cast("array<string>")
-    return joined.select(
+    """One row a repository: counts, isolated nodes sorted, most connected nodes by rank.
+
+    Nodes are ranked and folded in one partitioning by repository; each edge counts at both its ends, which are nodes.
+    """
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("degree"), "id"))
+    ranked = node_degrees(nodes, edges).withColumn("rank", rank)
+    folded = ranked.groupBy(KEY).agg(
+        F.count("*").alias("node_count"),
+        F.sum("degree").alias("ends"),
+        F.sort_array(F.collect_list(F.when(F.col("degree") == 0, F.col("id")))).alias("isolated_nodes"),
+        F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "id")))).alias("ranked"),
+    )
+    return folded.select(
         KEY,
         "node_count",
-        F.coalesce("edge_count", F.lit(0)).cast("bigint").alias("edge_count"),
-        F.size(F.coalesce("isolated_nodes", none)).cast("bigint").alias("isolated_node_count"),
-        F.coalesce("isolated_nodes", none).alias("isolated_nodes"),
-        F.coalesce(F.transform("ranked", lambda r: r["id"]), none).alias("top_connected_nodes"),
+        (F.col("ends") / 2).cast("bigint").alias("edge_count"),
+        F.size("isolated_nodes").cast("bigint").alias("isolated_node_count"),
+        "isolated_nodes",
+        F.transform("ranked", lambda r: r["id"]).alias("top_connected_nodes"),
     )
 
 
@@ -164,6 +173,14 @@ def one_hop(edges: DataFrame, node: Column | str) -> DataFrame:
     return out.union(into).distinct()
 
 
+def neighbourhood(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Neighbours of chosen (repo_id, id) nodes in both directions: (repo_id, node, id, direction)."""
+    at = lambda end: nodes.select(KEY, F.col("id").alias(end))
+    out = edges.join(at("source"), [KEY, "source"]).select(KEY, F.col("source").alias("node"), F.col("target").alias("id"), F.lit("outgoing").alias("direction"))
+    into = edges.join(at("target"), [KEY, "target"]).select(KEY, F.col("target").alias("node"), F.col("source").alias("id"), F.lit("incoming").alias("direction"))
+    return out.union(into).distinct()
+
+
 # --- strongly connected components -------------------------------------------------
 
 
@@ -175,11 +192,11 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _local_components(pairs: pd.DataFrame) -> pd.DataFrame:
+def _components_of(pairs: list[tuple[str, str]]) -> dict[str, str]:
     """Component of each node of one repository's graph, by two iterative depth-first passes."""
     out: dict[str, list[str]] = {}
     back: dict[str, list[str]] = {}
-    for a, b in zip(pairs["source"], pairs["target"]):
+    for a, b in pairs:
         out.setdefault(a, []).append(b)
         back.setdefault(b, []).append(a)
     finished, seen = [], set()
@@ -209,9 +226,29 @@ def _local_components(pairs: pd.DataFrame) -> pd.DataFrame:
                     todo.append(x)
         name = min(members)
         component.update(dict.fromkeys(members, name))
-    found = pd.DataFrame({"node": list(component), "component": list(component.values())})
-    found[KEY] = pairs[KEY].iloc[0] if len(pairs) else None
-    return found[[KEY, "node", "component"]]
+    return component
+
+
+def _local_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of repository after repository; a partition's edges come in order of repositories."""
+
+    def solved(repo: object, pairs: list[tuple[str, str]]) -> pd.DataFrame:
+        found = _components_of(pairs)
+        return pd.DataFrame({KEY: [repo] * len(found), "node": list(found), "component": list(found.values())})
+
+    repo, pairs = None, []
+    for batch in batches:
+        done = []
+        for key, rows in groupby(zip(batch[KEY], batch["source"], batch["target"]), key=itemgetter(0)):
+            if pairs and key != repo:
+                done.append(solved(repo, pairs))
+                pairs = []
+            repo = key
+            pairs += [(a, b) for _, a, b in rows]
+        if done:
+            yield pd.concat(done)
+    if pairs:
+        yield solved(repo, pairs)
 
 
 def _spread(labels: DataFrame, edges: DataFrame, rounds_name: str) -> DataFrame:
@@ -256,14 +293,15 @@ def _distributed_components(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
     """(repo_id, node, component) of nodes on trimmed edges; a component is named by its least node.
 
-    Repositories with at most ``local_edges`` trimmed edges are solved one to a
-    task, larger ones by colouring over the cluster.
+    Repositories with at most ``local_edges`` trimmed edges are solved one after
+    the other in their tasks, larger ones by colouring over the cluster.
     """
     pairs = materialize(_trim(_trim(edges.select(KEY, "source", "target").distinct())), "trimmed")
     sizes = pairs.groupBy(KEY).count()
     large = sizes.where(F.col("count") > local_edges).select(KEY)
     kind = pairs.schema[KEY].dataType.simpleString()
-    small = pairs.join(large, KEY, "left_anti").select(KEY, "source", "target").groupBy(KEY).applyInPandas(_local_components, f"{KEY} {kind}, node string, component string")
+    small = pairs.join(large, KEY, "left_anti").select(KEY, "source", "target").repartition(KEY).sortWithinPartitions(KEY)
+    small = materialize(small.mapInPandas(_local_components, f"{KEY} {kind}, node string, component string"), "components")
     if large.isEmpty():
         return small
     return small.union(_distributed_components(materialize(pairs.join(large, KEY, "left_semi").select(KEY, "source", "target"), "large")))
@@ -283,7 +321,10 @@ def cycles(edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
     return grouped.select(KEY, "cycle", F.size("cycle").cast("bigint").alias("members"), "edges")
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """(repo_id, node, component) of the nodes that cycles have."""
-    return cycles(edges).select(KEY, F.explode("cycle").alias("node"), F.element_at("cycle", 1).alias("component"))
-
+def on_cycle(edges: DataFrame, local_edges: int = 200_000) -> DataFrame:
+    """(repo_id, node, component) of the nodes that cycles have, a row each however large a cycle is."""
+    member = components(edges, local_edges)
+    large = member.groupBy(KEY, "component").agg(F.count("*").alias("n")).where("n > 1").select(KEY, "component")
+    loops = edges.where("source = target").select(KEY, F.col("source").alias("node")).distinct()
+    lone = member.join(loops, [KEY, "node"], "left_semi").select(KEY, "node", "component")
+    return member.join(large, [KEY, "component"], "left_semi").select(KEY, "node", "component").union(lone).distinct()

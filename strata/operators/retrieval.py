@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions import paths, text
+from strata.functions import paths, text, vocab
 from strata.functions.text import words
+from strata.storage import materialize
 
 #: Line ends besides \n that split a text, and a last empty line that does not count.
 LINE_ENDS = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
@@ -45,11 +46,15 @@ def chunks(files: DataFrame, size: int = 50) -> DataFrame:
 
 
 def token_weights(rows: DataFrame) -> DataFrame:
-    """(token, documents, idf) over content and file; rows without tokens do not count.  idf is ln((N+1)/(df+1))+1."""
+    """(token, documents, idf) over content and file; rows without tokens do not count.  idf is ln((N+1)/(df+1))+1.
+
+    Rows are counted as the holders of an empty token, so that texts are read once.
+    """
     tokens = F.array_distinct(text.retrieval_tokens(F.concat_ws(" ", "content", "file")))
-    some = rows.select(tokens.alias("tokens")).where(F.size("tokens") > 0)
-    frequency = some.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("documents"))
-    total = some.agg(F.count("*").alias("n"))  # a single row
+    held = text.let(tokens, lambda t: F.when(F.size(t) > 0, F.concat(F.array(F.lit("")), t)))
+    counted = rows.select(F.explode(held).alias("token")).groupBy("token").agg(F.count("*").alias("documents"))
+    counted = materialize(counted, "token-frequencies")
+    frequency, total = counted.where("token != ''"), counted.where("token = ''").select(F.col("documents").alias("n"))  # a single row
     return frequency.crossJoin(F.broadcast(total)).select("token", "documents", (F.log((F.col("n") + 1) / (F.col("documents") + 1)) + 1).alias("idf"))
 
 
@@ -61,9 +66,25 @@ def _symbol_names(symbols: Column) -> Column:
     return F.concat(F.coalesce(symbols["classes"], F.array()), F.coalesce(symbols["functions"], F.array()))
 
 
+def _possible(rows: DataFrame, *wanted: list[str]) -> DataFrame:
+    """Rows that may share a word with a question: every token is a stretch of lower-case text, or an alias of one."""
+    needles = {w for words_ in wanted for w in words_}
+    needles |= {k for k, aliases in vocab.CONCEPT_ALIASES.items() if needles & set(aliases)}
+    if not needles:
+        return rows.where(F.lit(False))
+    found = F.lit(False)
+    for w in sorted(needles):
+        found = found | F.lower("content").contains(w) | F.lower("file").contains(w)
+    return rows.where(found | F.col("symbols").isNotNull() if "symbols" in rows.columns else found)
+
+
 def score(rows: DataFrame, query: str, idf: dict[str, float] | None = None) -> DataFrame:
     """``rows`` of chunks with retrieval_score for a query; rows that share nothing with it are dropped.
 
+    Rows whose letters hold none of the words that could count are passed over
+    before any is cut into tokens; the tokens of the others are written, as
+    every term of the score reads them, and so is the result.
+
     ``idf`` holds weights of the query's tokens; one stands for those it lacks.
     A ``symbols`` column (classes and functions with name and lines) is used if there is one.
     """
@@ -100,7 +121,8 @@ def score(rows: DataFrame, query: str, idf: dict[str, float] | None = None) -> D
         .when(hit("_c") > 0, F.least(F.lit(0.45), 0.25 + 0.20 * hit("_c")))
         .otherwise(0.0)
     )
-    prepared = rows.withColumns({"_c": text.retrieval_tokens(F.col("content")), "_m": text.module_tokens(F.col("file")), "_s": names, "_starts": starts, "_role": paths.retrieval_role(F.col("file"))})
+    prepared = _possible(rows, q, related, anchors).withColumns({"_c": text.retrieval_tokens(F.col("content")), "_m": text.module_tokens(F.col("file")), "_s": names, "_starts": starts, "_role": paths.retrieval_role(F.col("file"))})
+    prepared = materialize(prepared, "tokens")
     role = F.when(F.col("_role") == "production", 1.0).when(F.col("_role") == "test", 0.0).otherwise(0.5)
     parts = {"phrase": phrase, "content": content, "file": in_file, "freq": freq, "symbol": symbol, "definition": definition, "module": module, "anchor": anchor}
     some = sum(parts.values(), zero) > 0
@@ -110,7 +132,7 @@ def score(rows: DataFrame, query: str, idf: dict[str, float] | None = None) -> D
     is_anchor = F.arrays_overlap("_m", words(anchors)) | F.arrays_overlap("_s", words(anchors)) if anchors else F.lit(False)
     scored = prepared.where(some).withColumn("_base", base).where("_base > 0")
     scored = scored.withColumn("retrieval_score", F.round(F.col("_base") + (suits - 0.5) * INTENT_WEIGHT, 6)).withColumn("is_primary", is_anchor).withColumn("role", F.col("_role"))
-    return scored.drop("_c", "_m", "_s", "_starts", "_role", "_base")
+    return materialize(scored.drop("_c", "_m", "_s", "_starts", "_role", "_base"), "scored")
 
 
 def keep_strong(scored: DataFrame, intent: str) -> DataFrame:

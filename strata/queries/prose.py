@@ -199,11 +199,14 @@ def sensitive_requests(spark: SparkSession, sf: str) -> DataFrame:
     return t.questions(spark, sf).where(text.is_sensitive_request(F.col("query"))).select("conv_id", "turn")
 
 
+_LETTERS = "regexp_replace(lower(query), '[^a-z0-9]+', ' ', 'g')"
+
+
 def _any(c: str, phrases: list[str]) -> str:
     return "(" + " OR ".join(f"contains({c}, '{p}')" for p in phrases) + ")"
 
 
-@query(sql(f"SELECT conv_id, turn FROM questions WHERE {_any('lower(query)', vocab.IDENTITY_SCOPES)} AND {_any('lower(query)', vocab.IDENTITY_TERMS)}", "questions"))
+@query(sql(f"SELECT conv_id, turn FROM questions WHERE {_any(_LETTERS, vocab.IDENTITY_SCOPES)} AND {_any(_LETTERS, vocab.IDENTITY_TERMS)}", "questions"))
 def identity_questions(spark: SparkSession, sf: str) -> DataFrame:
     return t.questions(spark, sf).where(text.is_identity_question(F.col("query"))).select("conv_id", "turn")
 
@@ -290,15 +293,15 @@ def answer_status_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     sql(
-        """SELECT claim, CASE WHEN said IS NULL THEN NULL WHEN said = real THEN 'supported' ELSE 'unsupported' END AS decision FROM (
-        SELECT 'Module ' || module_name || ' has ' || (outgoing_count + total_connections % 2) || ' outgoing dependencies.' AS claim, outgoing_count + total_connections % 2 AS said, outgoing_count AS real FROM mods
-        UNION ALL SELECT module_name || ' has ' || incoming_count || ' incoming dependency.', incoming_count, incoming_count FROM mods
-        UNION ALL SELECT module_name || ' is large.', NULL, NULL FROM mods)""",
+        """SELECT repo_id, claim, CASE WHEN said IS NULL THEN NULL WHEN said = real THEN 'supported' ELSE 'unsupported' END AS decision FROM (
+        SELECT repo_id, 'Module ' || module_name || ' has ' || (outgoing_count + total_connections % 2) || ' outgoing dependencies.' AS claim, outgoing_count + total_connections % 2 AS said, outgoing_count AS real FROM mods
+        UNION ALL SELECT repo_id, module_name || ' has ' || incoming_count || ' incoming dependency.', incoming_count, incoming_count FROM mods
+        UNION ALL SELECT repo_id, module_name || ' is large.', NULL, NULL FROM mods)""",
         "mods",
     )
 )
 def verify_numeric_claims(spark: SparkSession, sf: str) -> DataFrame:
-    m = t.modules(spark, sf)
+    m = t.Repository(spark, sf).modules
     s = lambda c: F.col(c).cast("string")
     wrong = (F.col("outgoing_count") + F.col("total_connections") % 2).cast("string")
     made = m.select("repo_id", F.explode(F.array(
@@ -306,7 +309,7 @@ def verify_numeric_claims(spark: SparkSession, sf: str) -> DataFrame:
         F.concat("module_name", F.lit(" has "), s("incoming_count"), F.lit(" incoming dependency.")),
         F.concat("module_name", F.lit(" is large.")),
     )).alias("claim"))
-    return claim_ops.verify_counts(made, m).select("claim", "decision")
+    return claim_ops.verify_counts(made, m).select("repo_id", "claim", "decision")
 
 
 # --- sources and requests ------------------------------------------------------------
@@ -317,13 +320,13 @@ def _python_files(spark: SparkSession, sf: str) -> DataFrame:
     p = t.read(spark, sf, "part")
     key = F.col("p_partkey").cast("string")
     body = F.concat(
-        F.lit("import os\nfrom pkg.sub import a"), key, F.lit("\n\nclass C"), key, F.lit(":\n    def run(self):\n        return eval('1')\n\nasync def f"), key,
+        F.lit("import os\nfrom pkg.sub import a"), key, F.when(F.col("p_partkey") % 4 == 1, "\nimport json").otherwise("\n"), F.lit("\nclass C"), key, F.lit(":\n    def run(self):\n        return eval('1')\n\nasync def f"), key,
         F.lit("():\n    pass\n"), F.when(F.col("p_partkey") % 10 == 3, "def broken(:\n").otherwise("api_key = 'abc'\n"),
     )
-    return p.select(F.lit(t.REPO).alias("repo_id"), F.concat(F.lit("src/m"), key, F.lit(".py")).alias("path"), body.alias("content"))
+    return p.select(F.concat(F.lit("z"), F.col("p_size").cast("string")).alias("repo_id"), F.concat(F.lit("src/m"), key, F.lit(".py")).alias("path"), body.alias("content"))
 
 
-@query("SELECT 'src/m' || p_partkey || '.py' AS file, 'os,pkg.sub' AS imports, 'f' || p_partkey || ',run' AS functions, 'C' || p_partkey AS classes FROM part WHERE p_partkey % 10 <> 3")
+@query("SELECT 'src/m' || p_partkey || '.py' AS file, CASE WHEN p_partkey % 4 = 1 THEN 'json,os,pkg.sub' ELSE 'os,pkg.sub' END AS imports, 'f' || p_partkey || ',run' AS functions, 'C' || p_partkey AS classes FROM part WHERE p_partkey % 10 <> 3")
 def python_structure(spark: SparkSession, sf: str) -> DataFrame:
     s = pyast.structure(pyast.facts(_python_files(spark, sf)))
     return s.select("file", *(F.array_join(c, ",").alias(c) for c in ("imports", "functions", "classes")))
@@ -389,6 +392,6 @@ def unused_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return left.select("file", F.col("start_line").cast("bigint").alias("start_line"), F.col("end_line").cast("bigint").alias("end_line"))
 
 
-@query("SELECT count(*) AS files, 2 * count(*) AS imports, 2 * count(*) AS functions, count(*) AS classes FROM part WHERE p_partkey % 10 <> 3")
+@query("SELECT 'z' || p_size AS repo_id, count(*) AS files, sum(CASE WHEN p_partkey % 4 = 1 THEN 3 ELSE 2 END)::BIGINT AS imports, 2 * count(*) AS functions, count(*) AS classes FROM part WHERE p_partkey % 10 <> 3 GROUP BY p_size")
 def structure_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.structure_totals(pyast.structure(pyast.facts(_python_files(spark, sf)))).drop("repo_id")
+    return selection.structure_totals(pyast.structure(pyast.facts(_python_files(spark, sf))))

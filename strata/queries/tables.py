@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import paths, vocab
-from strata.operators import graph, layers
+from strata.operators import evidence, graph, layers, risk
 from strata.storage import materialize
 
-REPO = "r0"
 SPLIT_DATE = "1998-05-24"
 CHUNK_LINES = 5
 
@@ -65,10 +64,16 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# --- supplier files and edges --------------------------------------------------------
+# --- suppliers as files, orders as what calls what -----------------------------------
+#
+# A repository is a nation's customers, or a customer; its files are the suppliers of
+# their orders; an edge leads from each line's supplier to the next line's, all lines of
+# all orders taken, and imports the part.  Relations of customers have a c in front.
 
+REPOSITORIES = {"nation": ("", "'n' || c_nationkey"), "customer": ("c", "'c' || c_custkey")}
 
-def _supplier_path(k: Column, n: Column) -> Column:
+
+def _path(k: Column, n: Column) -> Column:
     k, n = k.cast("string"), n.cast("string")
     last = F.right(k, F.lit(1))
     own = F.concat(F.lit("src/pkg"), n, F.lit("/s"), k, F.lit(".py"))
@@ -82,93 +87,70 @@ def _supplier_path(k: Column, n: Column) -> Column:
 
 
 _relation(
-    "sup",
-    """SELECT s_suppkey AS k, s_nationkey AS n, CASE right(s_suppkey::VARCHAR, 1)
+    "paths",
+    """SELECT s_suppkey AS k, CASE right(s_suppkey::VARCHAR, 1)
        WHEN '6' THEN 'data/pkg' || s_nationkey || '/s' || s_suppkey || '.bin' WHEN '7' THEN 'docs/pkg' || s_nationkey || '/s' || s_suppkey || '.py'
        WHEN '8' THEN 'tests/test_s' || (s_suppkey - 7) || '.py' WHEN '9' THEN 'pkg' || s_suppkey || '/setup.py'
        ELSE 'src/pkg' || s_nationkey || '/s' || s_suppkey || '.py' END AS path FROM supplier""",
 )
+for _c, _repo in REPOSITORIES.values():
+    _relation(
+        f"{_c}line",
+        f"""SELECT {_repo} AS repo_id, l_suppkey AS a, l_partkey AS p, l_shipdate AS d,
+            lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS b
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
+    )
+    _relation(f"{_c}sup", f"SELECT DISTINCT repo_id, path FROM {_c}line JOIN paths ON a = k", f"{_c}line", "paths")
+    _relation(
+        f"{_c}edges",
+        f"SELECT DISTINCT repo_id, x.path AS source, y.path AS target, 'p' || p AS import FROM {_c}line JOIN paths x ON a = x.k JOIN paths y ON b = y.k WHERE a <> b",
+        f"{_c}line", "paths",
+    )
+    _relation(f"{_c}prod", f"SELECT repo_id, path AS file FROM {_c}sup WHERE path LIKE '_%.py' AND {layer_sql('path')} = 'source'", f"{_c}sup")
+    _relation(
+        f"{_c}pairs", f"SELECT DISTINCT repo_id, source, target FROM {_c}edges WHERE (repo_id, source) IN (SELECT (repo_id, file) FROM {_c}prod) AND (repo_id, target) IN (SELECT (repo_id, file) FROM {_c}prod)",
+        f"{_c}edges", f"{_c}prod",
+    )
+    _relation(
+        f"{_c}mods",
+        f"""SELECT repo_id, file, {module_sql('file')} AS module_name, coalesce(o, []) AS outs, coalesce(i, []) AS ins, len(coalesce(o, [])) AS outgoing_count,
+            len(coalesce(i, [])) AS incoming_count, len(coalesce(o, [])) + len(coalesce(i, [])) AS total_connections FROM {_c}prod
+            LEFT JOIN (SELECT repo_id, source AS file, list(target ORDER BY target) AS o FROM {_c}pairs GROUP BY ALL) USING (repo_id, file)
+            LEFT JOIN (SELECT repo_id, target AS file, list(source ORDER BY source) AS i FROM {_c}pairs GROUP BY ALL) USING (repo_id, file)""",
+        f"{_c}prod", f"{_c}pairs",
+    )
 
 
-def suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    s = read(spark, sf, "supplier")
-    return s.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"), _supplier_path(F.col("s_suppkey"), F.col("s_nationkey")).alias("path"))
-
-
-def supplier_files(spark: SparkSession, sf: str) -> DataFrame:
-    return suppliers(spark, sf).select(F.lit(REPO).alias("repo_id"), "path")
-
-
-_relation(
-    "hops",
-    """SELECT * FROM (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS b,
-       l_partkey AS p, l_quantity AS q, l_shipdate AS d FROM lineitem) WHERE b IS NOT NULL AND a <> b AND q >= 49""",
-)
-_relation(
-    "edges",
-    """SELECT DISTINCT x.path AS source, y.path AS target, 'p' || h.p AS import FROM hops h
-       JOIN (SELECT a, b FROM hops GROUP BY a, b HAVING count(*) >= 2) USING (a, b) JOIN sup x ON h.a = x.k JOIN sup y ON h.b = y.k""",
-    "hops", "sup",
-)
-
-
-def hops(spark: SparkSession, sf: str) -> DataFrame:
-    """Consecutive suppliers of an order's large lines."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"), F.col("l_shipdate").alias("d"))
-    return rows.where("b is not null and a != b and q >= 49")
-
-
-def _named(rows: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
-    s = suppliers(spark, sf).select("k", "path")
-    x, y = s.select(F.col("k").alias("a"), F.col("path").alias("source")), s.select(F.col("k").alias("b"), F.col("path").alias("target"))
-    return rows.join(x, "a").join(y, "b")
-
-
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = hops(spark, sf)
-    often = rows.groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").select("a", "b")
-    named = _named(rows.join(often, ["a", "b"], "left_semi"), spark, sf)
-    return named.select(F.lit(REPO).alias("repo_id"), "source", "target", F.concat(F.lit("p"), F.col("p").cast("string")).alias("import")).distinct()
-
-
-_relation("prod", f"SELECT path AS file FROM sup WHERE path LIKE '_%.py' AND {layer_sql('path')} = 'source'", "sup")
-_relation("pairs", "SELECT DISTINCT source, target FROM edges WHERE source IN (SELECT file FROM prod) AND target IN (SELECT file FROM prod)", "edges", "prod")
-_relation(
-    "mods",
-    f"""SELECT file, {module_sql('file')} AS module_name, coalesce(o, []) AS outs, coalesce(i, []) AS ins, len(coalesce(o, [])) AS outgoing_count,
-        len(coalesce(i, [])) AS incoming_count, len(coalesce(o, [])) + len(coalesce(i, [])) AS total_connections FROM prod
-        LEFT JOIN (SELECT source AS file, list(target ORDER BY target) AS o FROM pairs GROUP BY 1) USING (file)
-        LEFT JOIN (SELECT target AS file, list(source ORDER BY source) AS i FROM pairs GROUP BY 1) USING (file)""",
-    "prod", "pairs",
-)
-
-
-def production(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.production_files(supplier_files(spark, sf))
-
-
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.production_pairs(edges(spark, sf), production(spark, sf))
-
-
-def modules(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.modules(production(spark, sf), pairs(spark, sf))
-
+class Repository:
+    """Relations of all repositories; those that a query reads more than once are derived once and written to the shared folder."""
 
-def supplier_layers(spark: SparkSession, sf: str) -> DataFrame:
-    return layers.classify(supplier_files(spark, sf))
+    def __init__(self, spark: SparkSession, sf: str, by: str = "nation"):
+        self.spark, self.sf, self.by = spark, sf, by
 
+    @cached_property
+    def lines(self) -> DataFrame:
+        """(repo_id, a, b, p, d): each line's supplier, the next line's, the part and the date."""
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+        rows = read(self.spark, self.sf, "lineitem").withColumn("b", F.lead("l_suppkey").over(w))
+        owner = F.concat(F.lit("n"), F.col("c_nationkey").cast("string")) if self.by == "nation" else F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+        orders = read(self.spark, self.sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+        owners = orders.join(read(self.spark, self.sf, "customer"), "c_custkey").select("l_orderkey", owner.alias("repo_id"))
+        joined = rows.join(owners, "l_orderkey")
+        return materialize(joined.select("repo_id", F.col("l_suppkey").alias("a"), "b", F.col("l_partkey").alias("p"), F.col("l_shipdate").alias("d")), "lines")
 
-class Repository:
-    """Relations that a query reads more than once, each derived once and written to the shared folder."""
+    @cached_property
+    def paths(self) -> DataFrame:
+        return read(self.spark, self.sf, "supplier").select(F.col("s_suppkey").alias("k"), _path(F.col("s_suppkey"), F.col("s_nationkey")).alias("path"))
 
-    def __init__(self, spark: SparkSession, sf: str):
-        self.spark, self.sf = spark, sf
+    def named(self, hops: DataFrame) -> DataFrame:
+        """Hops with source and target for suppliers a and b."""
+        x, y = self.paths.select(F.col("k").alias("a"), F.col("path").alias("source")), self.paths.select(F.col("k").alias("b"), F.col("path").alias("target"))
+        return hops.join(x, "a").join(y, "b")
 
     @cached_property
     def files(self) -> DataFrame:
-        return supplier_files(self.spark, self.sf)
+        mine = self.lines.select("repo_id", F.col("a").alias("k")).distinct()
+        return materialize(mine.join(self.paths, "k").select("repo_id", "path"), "files")
 
     @cached_property
     def layers(self) -> DataFrame:
@@ -180,42 +162,53 @@ class Repository:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return materialize(edges(self.spark, self.sf), "edges")
+        hops = self.lines.where("b is not null and a != b").select("repo_id", "a", "b", "p").distinct()
+        return materialize(self.named(hops).select("repo_id", "source", "target", F.concat(F.lit("p"), F.col("p").cast("string")).alias("import")), "edges")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return graph.production_pairs(self.edges, self.production)
+        return materialize(graph.production_pairs(self.edges, self.production), "pairs")
 
     @cached_property
     def modules(self) -> DataFrame:
         return materialize(graph.modules(self.production, self.pairs), "modules")
 
+    @cached_property
+    def overview(self) -> DataFrame:
+        return materialize(evidence.overview(self.files, self.edges, self.modules, self.pairs, self.signals), "overview")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        found = risk.union_signals(
+            risk.hotspots(self.modules), risk.layer_violations(self.edges, self.layers), risk.missing_test_counterparts(self.production, self.files)
+        )
+        return risk.normalise(found)
+
 
 # --- two snapshots -------------------------------------------------------------------
 
 
 _relation(
     "snap",
-    f"""SELECT DISTINCT d < TIMESTAMP '{SPLIT_DATE}' AS was, x.path AS source, y.path AS target FROM hops h JOIN sup x ON h.a = x.k JOIN sup y ON h.b = y.k WHERE h.q >= 50""",
-    "hops", "sup",
+    f"SELECT DISTINCT repo_id, d < TIMESTAMP '{SPLIT_DATE}' AS was, x.path AS source, y.path AS target FROM cline JOIN paths x ON a = x.k JOIN paths y ON b = y.k WHERE a <> b",
+    "cline", "paths",
 )
 _relation(
     "snapmods",
-    f"""SELECT was, source AS file, list(target ORDER BY target) AS deps,
-        CASE WHEN NOT was AND source LIKE '%3.py' THEN 'other' ELSE {layer_sql('source')} END AS layer FROM snap GROUP BY was, source""",
+    f"""SELECT repo_id, was, source AS file, list(target ORDER BY target) AS deps,
+        CASE WHEN NOT was AND source LIKE '%3.py' THEN 'other' ELSE {layer_sql('source')} END AS layer FROM snap GROUP BY repo_id, was, source""",
     "snap",
 )
 
 
-def snapshot_modules(spark: SparkSession, sf: str, baseline: bool) -> DataFrame:
-    """Modules of the lines before or from the split date on; in the later half some files' layer is other."""
-    before = F.col("d") < F.to_timestamp(F.lit(SPLIT_DATE))
-    rows = hops(spark, sf).where("q >= 50").where(before if baseline else ~before)
-    named = _named(rows.select("a", "b").distinct(), spark, sf)
-    grouped = named.groupBy(F.col("source").alias("file")).agg(F.collect_set("target").alias("outgoing_dependencies"))
-    layer = paths.layer(F.col("file"))
-    layer = layer if baseline else F.when(F.col("file").endswith("3.py"), "other").otherwise(layer)
-    return grouped.select(F.lit(REPO).alias("repo_id"), "file", "outgoing_dependencies", layer.alias("layer"))
+def snapshot_modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Modules of customers' lines before and from the split date on; in the later half some files' layer is other."""
+    r = Repository(spark, sf, "customer")
+    hops = r.lines.where("b is not null and a != b").select("repo_id", (F.col("d") < F.to_timestamp(F.lit(SPLIT_DATE))).alias("was"), "a", "b").distinct()
+    grouped = r.named(hops).groupBy("repo_id", "was", F.col("source").alias("file")).agg(F.collect_set("target").alias("outgoing_dependencies"))
+    layer = F.when(~F.col("was") & F.col("file").endswith("3.py"), "other").otherwise(paths.layer(F.col("file")))
+    both = materialize(grouped.select("repo_id", "was", "file", "outgoing_dependencies", layer.alias("layer")), "snapshots")
+    return both.where("was").drop("was"), both.where("not was").drop("was")
 
 
 # --- documents as files --------------------------------------------------------------

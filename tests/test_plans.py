@@ -8,7 +8,7 @@ import pytest
 
 from strata.queries import prose, qa, structure
 
-PYTHON = {"mmr_top_k", "python_structure", "structure_totals", "chunk_symbols", "rate_limiter", "scc_cycles"}
+PYTHON = {"mmr_top_k", "python_structure", "structure_totals", "chunk_symbols", "rate_limiter", "scc_cycles", "circular_claims"}
 
 
 def plan_of(df) -> str:
