@@ -103,6 +103,62 @@ def diverse_code(chunks: DataFrame, query: str, k: int = 6) -> DataFrame:
     return ranked.orderBy("again", F.desc("score"), "pos").limit(k).select("file", "start_line", "score", F.col("again").cast("bigint").alias("again"))
 
 
+def structural_first(chunks: DataFrame, query: str, k: int) -> DataFrame:
+    """Code for an answer's context, in order: symbol hits, file hits, their numbers, content hits, score, retrieval score.
+
+    Chunks that only share words of their content count where none shares its
+    file's or a symbol's.  ``chunks`` has file, start_line, content, symbol_names,
+    retrieval_score and pos, which breaks ties.
+    """
+    asked = text.selector_forms(text.selector_tokens(F.lit(query)))
+    content, in_file, symbol, score = context_score(asked, F.col("content"), F.col("file"), F.col("symbol_names"))
+    scored = chunks.withColumns({"_c": content, "_f": in_file, "_s": symbol, "context_score": score.cast("bigint")}).where("context_score > 0")
+    structural = (F.col("_f") + F.col("_s")) > 0
+    # One row: whether any chunk is structural.
+    some = scored.agg(F.coalesce(F.bool_or(structural), F.lit(False)).alias("_some"))
+    kept = scored.crossJoin(F.broadcast(some)).where(structural | ~F.col("_some"))
+    order = [(F.col("_s") > 0).cast("int"), (F.col("_f") > 0).cast("int"), F.col("_s"), F.col("_f"), F.col("_c"), F.col("context_score"), F.coalesce("retrieval_score", F.lit(0.0))]
+    return kept.orderBy(*(c.desc() for c in order), "pos").limit(k).drop("_c", "_f", "_s", "_some")
+
+
+def graph_evidence(modules: DataFrame, k: int = 5) -> DataFrame:
+    """One graph_summary row a repository, ranked anew from its modules: counts and the k first names each way."""
+    ranked, kinds = modules, {"total_connections": "top_connected", "outgoing_count": "top_outgoing", "incoming_count": "top_incoming"}
+    for by in kinds:
+        ranked = ranked.withColumn(f"_{by}", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc(by), "module_name")))
+    names = lambda by: F.transform(F.sort_array(F.collect_list(F.when(F.col(f"_{by}") <= k, F.struct(f"_{by}", "module_name")))), lambda x: x["module_name"])
+    return ranked.groupBy(KEY).agg(
+        F.lit("graph_summary").alias("evidence_subtype"), F.lit("repository").alias("module_name"), F.lit("repository-analysis").alias("file"),
+        F.count("*").alias("node_count"), F.sum("outgoing_count").alias("edge_count"), F.count_if(F.col("total_connections") == 0).alias("isolated_node_count"),
+        *(names(by).alias(to) for by, to in kinds.items()),
+    )
+
+
+def module_evidence(modules: DataFrame) -> DataFrame:
+    """Modules as evidence: what they are and depend on, in a sentence."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none")
+    content = F.concat(
+        "module_name", F.lit(" belongs to the "), "layer", F.lit(" layer. Outgoing dependencies: "), listed("outgoing_dependencies"),
+        F.lit(". Incoming dependencies: "), listed("incoming_dependencies"), F.lit("."),
+    )
+    return modules.select(KEY, F.lit("module_dependencies").alias("evidence_subtype"), "module_name", "file", content.alias("content"), "outgoing_count", "incoming_count", "total_connections")
+
+
+def evidence_pool(primary: DataFrame, supporting: DataFrame, metadata: DataFrame, architecture: DataFrame) -> DataFrame:
+    """All evidence that claims may rest on, in one relation: retrieved code, its neighbours, counts, modules or the graph."""
+    code = lambda df, role, context: df.select(
+        F.lit("code").alias("evidence_type"), "file", "start_line", "end_line", *(["content"] if "content" in df.columns else []), "retrieval_score", F.lit(role).alias("retrieval_role"), F.lit(context).alias("context_role")
+    )
+    facts = metadata.select(F.lit("repository_metadata").alias("evidence_type"), "metadata_key", "label", "value")
+    named = [c for c in ("evidence_subtype", "module_name", "file", "content", "node_count", "edge_count", "total_connections") if c in architecture.columns]
+    graph = architecture.select(F.lit("architecture").alias("evidence_type"), *named, F.lit("architecture").alias("retrieval_role"), F.lit("architecture").alias("context_role"))
+    parts = [code(primary, "primary", "retrieved"), code(supporting, "supporting", "neighbor"), facts, graph]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def public_evidence(code: DataFrame, metadata: DataFrame, architecture: DataFrame) -> DataFrame:
     """What an answer shows of its evidence."""
     c = code.select(F.lit("code").alias("evidence_type"), "file", "start_line", "end_line")
