@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from strata.queries import prose, qa, structure
+from strata.queries import answers, prose, qa, structure
 
 PYTHON = {"mmr_top_k", "python_structure", "structure_totals", "chunk_symbols", "rate_limiter", "scc_cycles", "circular_claims"}
 
@@ -29,9 +29,9 @@ def test_filters_reach_the_scan(spark, small):
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,assistant)]" in plan_of(prose.decompose_claims(spark, small))
 
 
-@pytest.mark.parametrize("name", sorted({**structure.QUERIES, **prose.QUERIES, **qa.QUERIES}.keys() - PYTHON))
+@pytest.mark.parametrize("name", sorted({**structure.QUERIES, **prose.QUERIES, **qa.QUERIES, **answers.QUERIES}.keys() - PYTHON))
 def test_no_python_in_core_plans(spark, small, name):
-    plan = plan_of({**structure.QUERIES, **prose.QUERIES, **qa.QUERIES}[name](spark, small))
+    plan = plan_of({**structure.QUERIES, **prose.QUERIES, **qa.QUERIES, **answers.QUERIES}[name](spark, small))
     assert not re.search("EvalPython|InPandas|InArrow", plan)
     assert "CartesianProduct" not in plan
 
