@@ -5,8 +5,11 @@ stays; personal data in texts is replaced by its kind; the domains' tokens are
 brought to their target weights by thinning documents of unwanted domains; the
 last stage gives each document's BPE ids and the text they decode to.
 
-Stages take and, but for the last, return the columns of documents.  Null texts
-and empty tables pass through every stage as its operator's docstring says.
+Stages take and, but for the last, return the columns of documents; further
+columns pass through.  A null text has no words, so the rules reject it; a text
+without words never reaches the later stages.  Of repeated rows the near-duplicate
+stage keeps one.  Ties there go to the smallest doc_id and the first row.  Very
+long texts take each stage whole.  An empty table stays one through all stages.
 """
 
 from __future__ import annotations

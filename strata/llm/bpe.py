@@ -12,6 +12,9 @@ heap over a linked list, as the scan would be quadratic there.
 
 Null text counts as empty and has no ids.  Special tokens' strings in a text
 become their ids, as the reference tokenizers library has it by default.
+Merges of one rank go from left to right.  Repeated rows and null doc_ids get a
+result row each, equal texts equal ids; an empty table gives an empty result;
+columns besides doc_id and text play no part.
 """
 
 from __future__ import annotations

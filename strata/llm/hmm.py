@@ -21,6 +21,9 @@ more share for all tokens never seen.  Every text thus has an exact probability.
 
 Held-out texts (crc32 of the doc_id as text, modulo 7, is 2) lend nothing.  Null
 text counts as empty: its only token is the end.  Rows with a null doc_id train.
+Repeated rows count and are scored each; equal texts score alike.  An empty table
+gives an empty result; without training texts the model is its priors.  Columns
+besides doc_id and text play no part.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ scan at its restart markers and Huffman-decodes all intervals of a batch in
 lockstep, one symbol of each at a time, in numpy.  DC terms alone give a
 thumbnail of one pixel a block; its hash and the dimensions are the features.
 
-Null text counts as empty and is stored as one unit of zeros.
+Null text counts as empty and is stored as one unit of zeros.  A long text is coded
+and decoded in slices of blocks.  Repeated rows and null doc_ids get a result row
+each, equal texts equal bytes; an empty table gives an empty result; columns
+besides doc_id and text play no part.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ a few sums; the rates are an expression of the steps so far and travel nowhere.
 Null text counts as empty and has no tokens; it takes part with rate and all.
 Labels repeated for a doc_id count once, by their largest values; a null doc_id
 has none.  Targets for a domain that no document belongs to stay unmet, which
-``Mix.totals`` shows.
+``Mix.totals`` shows.  Repeated rows are documents each; rows of one doc_id draw
+alike.  An empty table gives an empty result.  Columns besides doc_id and text
+play no part and are kept by ``thin``.
 """
 
 from __future__ import annotations

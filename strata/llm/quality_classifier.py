@@ -9,7 +9,9 @@ regression on a fixed grid of raw scores calibrates the result.
 A held-out document (crc32 of its doc_id as text, modulo 4, is 2) never lends
 its label.  Null text counts as empty; a null doc_id is not held out and has no
 label.  Labels other than 0 and 1 are ignored and repeated ones averaged.
-Without any labels every score is one half.
+Without any labels every score is one half.  Equal texts score alike, so ties
+stay ties; repeated rows get a result row each; an empty table gives an empty
+result.  Further columns of either table, whatever their names, play no part.
 """
 
 from __future__ import annotations

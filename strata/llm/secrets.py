@@ -1,14 +1,19 @@
 """Secret scans (operator 7).
 
 One Aho-Corasick pass over a lower-cased copy finds keywords; regular
-expressions run only where a keyword begins, anchored there.  Runs of
-hexadecimal digits have no keyword and are sought as runs of the least length.
+expressions run only where a keyword begins, anchored there.  Hexadecimal and
+base-58 findings have no keyword: runs of their letters of the least length are
+sought, and a base-58 run counts only with the length, first letter and checksum
+of a key.
 Tokens of formats that embed a checksum become findings of their own where the
 checksum is right, and raise the confidence of what they overlap.
 
 Kinds in the base: assign, access, hex.  Kinds the method adds: checked (prefix,
 random part and base-62 CRC-32), wif (base58 with a double SHA-256 checksum).
 Offsets are code points, ends exclusive.  Null text counts as empty.
+Repeated rows and null doc_ids get a result row each, equal texts equal findings; of
+kinds that begin at one place the first listed comes first.  An empty table gives
+an empty result; columns besides doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CHECKED = re.compile(r"(?:ghp|gho|ghu|ghs|ghr)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])|npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
-WIF = re.compile(r"[5KL9c][1-9A-HJ-NP-Za-km-z]{50,51}(?![1-9A-HJ-NP-Za-km-z])")
+WIF = re.compile(r"[1-9A-HJ-NP-Za-km-z]{51,}+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 KEYWORDS = {
@@ -97,17 +102,13 @@ class Scanner:
                 continue
             found.append((kind, start, hit.end(), kind == "checked"))
         found += [("hex", m.start(), m.end(), False) for m in HEX.finditer(text)]
-        found += [("wif", m.start(), m.end(), True) for m in WIF.finditer(text) if _alone(text, m.start()) and wif_is_valid(m[0])]
+        found += [("wif", m.start(), m.end(), True) for m in WIF.finditer(text) if m.end() - m.start() <= 52 and text[m.start()] in "5KL9c" and wif_is_valid(m[0])]
         sure = [(a, b) for _, a, b, ok in found if ok]
         if sure:
             found = [(k, a, b, ok or any(a < y and x < b for x, y in sure)) for k, a, b, ok in found]
         return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 
-def _alone(text: str, start: int) -> bool:
-    return start == 0 or text[start - 1] not in BASE58
-
-
 def _join(found: list[tuple[str, int, int, bool]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b, _ in found)
 

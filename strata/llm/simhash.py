@@ -11,7 +11,10 @@ rather than all of them, which keeps components and loses no connection.
 
 Null and empty texts have fingerprint zero and are linked like any other.
 Copies collapse to one fingerprint before any comparison.  Null doc_ids never
-name a component unless all its rows lack one.
+name a component unless all its rows lack one.  A bit set in exactly half of the
+hashes is zero.  Repeated rows get a result row each; an empty table gives an
+empty result; columns besides doc_id and text play no part and are kept by
+``keep_one_each``.
 """
 
 from __future__ import annotations

@@ -39,6 +39,7 @@ from strata.storage import new_path
 
 MAGIC = b"SB8TOK01"
 BLOCK = 1 << 15
+ROLL = 1_000_000  # documents a file
 CACHE = 300_000
 ESCAPE = 15
 # Ids per word by selector: 60 // n bits each.
@@ -263,11 +264,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, director
     """Write all documents' ids in ascending doc_id order; return the manifest.
 
     The manifest has a row for each file: part, uri, docs, ids, base (ids in all
-    files before it).  It is as long as there are partitions, so the driver may
-    hold it to sum the bases up.
+    files before it).  A partition begins a new file after ROLL documents, so a
+    writer's memory is bounded; the manifest stays short enough for the driver to
+    sum the bases up.
     """
     spark = docs.sparkSession
     directory = directory or new_path(spark, "tokens")
+    roll = ROLL
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
     ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -275,18 +278,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, director
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        writer, end, encoder = None, np.array([end_id], np.uint32), _encoder(tokenizer)
+        writer, number, end, encoder = None, 0, np.array([end_id], np.uint32), _encoder(tokenizer)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 if writer is None:
-                    uri = f"{directory}/part-{part:06d}-{uuid.uuid4().hex}.sb8"
+                    uri, number = f"{directory}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.sb8", number + 1
                     writer = FileWriter(uri)
                 writer.add(doc_id.as_py(), np.concatenate([encoder.encode(text.as_py()), end]).astype(np.uint64))
+                if len(writer.docs) >= roll:
+                    yield closed(writer, uri)
+                    writer = None
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "uri": uri, "docs": len(writer.docs), "ids": writer.ids}])
+            yield closed(writer, uri)
 
-    # One task's output is one row; the rows outlive their executors in the driver.
+    def closed(writer: FileWriter, uri: str) -> pa.RecordBatch:
+        writer.close()
+        from pyspark import TaskContext
+
+        return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "uri": uri, "docs": len(writer.docs), "ids": writer.ids}])
+
+    # A row for each file; the rows outlive their executors in the driver.  Names sort as the files follow each other.
     files = sorted(ordered.mapInArrow(run, "part bigint, uri string, docs bigint, ids bigint").collect())
     base, rows = 0, []
     for part, uri, n, ids in files:

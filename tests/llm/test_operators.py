@@ -128,6 +128,14 @@ def test_token_files(spark, docs, given, library):
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(cases.empty(spark), TOKENIZER)).count() == 0
 
 
+def test_token_files_roll(spark, docs, monkeypatch):
+    whole = sorted(map(tuple, tokenfiles.read_token_files(tokenfiles.write_token_files(docs, TOKENIZER)).collect()), key=lambda r: r[1])
+    monkeypatch.setattr(tokenfiles, "ROLL", 7)
+    manifest = tokenfiles.write_token_files(docs, TOKENIZER)
+    assert manifest.where("docs > 7").count() == 0 and manifest.count() > 7
+    assert sorted(map(tuple, tokenfiles.read_token_files(manifest).collect()), key=lambda r: r[1]) == whole
+
+
 # --- operator 3 ----------------------------------------------------------------------
 
 
