@@ -67,16 +67,18 @@ def load_snapshot(spark: SparkSession, *candidates: str | None) -> DataFrame | N
 def drift_report(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
     """Drift of the newest snapshot against the one before, by repository; unconfigured where there is only one.
 
-    ``snapshots`` has repo_id and path; only pairs of paths come to the driver, one a repository.
+    ``snapshots`` has repo_id and path.  All snapshots that a pair names are read
+    in one scan and find their repository by path; of them only paths come to
+    the driver, which plans the scan.
     """
-    out, lone = [], []
-    for p in drift.pair(snapshots).collect():
-        if p.baseline is None:
-            lone.append((p.repo_id,))
-            continue
-        a, b = (source_files.snapshot_modules(source_files.read_snapshot(spark, x), p.repo_id) for x in (p.baseline, p.current))
-        out.append(drift.report(a, b))
-    rest = spark.createDataFrame(lone, f"{KEY} string").withColumn("status", F.lit("unconfigured"))
-    for r in out:
-        rest = r.unionByName(rest, allowMissingColumns=True)
-    return rest
+    pairs = materialize(drift.pair(snapshots), "snapshot-pairs")
+    lone = pairs.where("baseline is null").select(KEY, F.lit("unconfigured").alias("status"))
+    named = pairs.where("baseline is not null").select(KEY, F.explode(F.array(F.struct(F.col("baseline").alias("path"), F.lit(True).alias("was")), F.struct(F.col("current").alias("path"), F.lit(False).alias("was")))).alias("s"))
+    paths = sorted({r.path for r in named.select("s.path").distinct().collect()})
+    if not paths:
+        return lone
+    modules = source_files.modules_by_path(spark, paths)
+    joined = named.select(KEY, "s.was", source_files.bare(F.col("s.path")).alias("snapshot")).join(modules, "snapshot").drop("snapshot")
+    joined = materialize(joined, "snapshot-modules")
+    whole = drift.report(joined.where("was").drop("was"), joined.where("not was").drop("was"))
+    return whole.unionByName(lone, allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import paths
@@ -29,12 +29,15 @@ def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
     return sorted(found)
 
 
+def bare(name: Column) -> Column:
+    """A file's name without scheme and authority."""
+    return F.regexp_replace(name, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+
+
 def scan(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """(repo_id, path, content, size): every file below ``root``; content of relevant files that are UTF-8, else null."""
     listed = spark.createDataFrame(list_files(spark, root), "path string, size bigint")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    # Both names without scheme and authority.
-    bare = lambda c: F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
     prefix = F.rtrim(bare(F.lit(root)), F.lit("/"))
     below = F.substring(bare(F.col("path")), F.length(prefix) + 2, F.length("path"))
     body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8"))
@@ -85,6 +88,14 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).json(path)
 
 
+def modules_by_path(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Modules of many snapshots in one scan, with ``snapshot``, the path of each as ``bare`` gives it."""
+    rows = spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).json(paths)
+    # A snapshot is a file, or a folder of part files.
+    at = F.regexp_replace(bare(F.url_decode(F.col("_metadata.file_path"))), r"/part-[^/]*$", "")
+    return rows.select(at.alias("snapshot"), F.posexplode("production_modules").alias("pos", "m")).select("snapshot", "pos", "m.*")
+
+
 def snapshot_modules(snapshot: DataFrame, repo_id: str) -> DataFrame:
     rows = snapshot.select(F.posexplode("production_modules").alias("pos", "m"))
     return rows.select(F.lit(repo_id).alias(KEY), "pos", "m.*")

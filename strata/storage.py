@@ -7,8 +7,11 @@ again, so that a lost executor costs a re-read and never the rows themselves.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="strata-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -44,6 +47,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised within goes when the block ends; results must be written elsewhere by then."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        own, _written[mark:] = _written[mark:], []
+        for _, path in own:
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import selection
-from strata.plans import facade, qa
-from strata.sources import files
+from strata.operators import graph, selection
+from strata.plans import facade, qa, service
+from strata.sources import artifacts, files
 
 TREE = {
     "src/app/__init__.py": "",
@@ -62,3 +63,101 @@ def test_architecture_item_and_context(spark):
     assert [r.file for r in selection.supporting_context(chunks, "send session", "general", best).collect()] == ["b.py", "c.py"]
     assert selection.supporting_context(chunks, "send session", "symbol", best).count() == 0
     assert selection.context_text(best.withColumn("rank", F.lit(1))).first().context == "[1] a.py:1-5\nsession send"
+
+
+def test_drift_of_many_repositories(spark, tmp_path):
+    shape = "named_struct('file',f,'module_name',f,'type','production','layer','source','outgoing_dependencies',d,'incoming_dependencies',array(),'outgoing_count',1L,'incoming_count',0L,'total_connections',1L)"
+    listed = []
+    for r in range(4):
+        for day, names in ((1, ("a", "b")), (2, ("a", "c")))[: 2 if r < 3 else 1]:
+            rows = " union all ".join(f"select '{n}{r}' as f, array('x{day}') as d" for n in names)
+            snap = spark.sql(f"select collect_list({shape}) as production_modules from ({rows})")
+            listed.append((f"r{r}", files.write_snapshot(snap, str(tmp_path / f"r{r}"), f"2026010{day}_000000")))
+    found = {x.repo_id: x for x in facade.drift_report(spark, spark.createDataFrame(listed, "repo_id string, path string")).collect()}
+    assert [(found[f"r{r}"].status, found[f"r{r}"].added, found[f"r{r}"].removed, found[f"r{r}"].changed_dependencies) for r in range(3)] == [("ready", 1, 1, 1)] * 3
+    assert found["r3"].status == "unconfigured"
+
+
+def test_artifacts_and_their_kinds(spark, tmp_path):
+    chunks = spark.createDataFrame([("a.py", 1, 2, "é"), ("b.py", 1, 3, "y")], "file string, start_line long, end_line long, content string").repartition(2)
+    artifacts.save_rows(chunks, str(tmp_path / "chunks.json"))
+    assert {(r.file, r.content) for r in artifacts.load_rows(spark, str(tmp_path / "chunks.json")).collect()} == {("a.py", "é"), ("b.py", "y")}
+    (tmp_path / "list.json").write_text('[\n {"file": "a.py", "start_line": 1, "symbols": {"classes": []}},\n {"file": "b.py"}\n]')
+    (tmp_path / "object.json").write_text('{\n "metadata": {"total_files": 3},\n "relevant_files": ["a.py"]\n}')
+    assert artifacts.load_rows(spark, str(tmp_path / "list.json")).count() == 2
+    assert artifacts.load_object(spark, str(tmp_path / "object.json")).first().metadata.total_files == 3
+    artifacts.save_object(artifacts.load_object(spark, str(tmp_path / "object.json")), str(tmp_path / "again.json"))
+    assert artifacts.load_object(spark, str(tmp_path / "again.json")).first().relevant_files == ["a.py"]
+    with pytest.raises(ValueError, match="object"):
+        artifacts.load_object(spark, str(tmp_path / "list.json"))
+    with pytest.raises(Exception, match=r"list|FAILFAST|MALFORMED"):
+        artifacts.load_rows(spark, str(tmp_path / "object.json"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        artifacts.load_object(spark, str(tmp_path / "none.json"))
+
+
+def small_repository(spark):
+    chunks = spark.createDataFrame(
+        [("r", "src/session.py", 1, 9, "class Session sends a request through the adapter"), ("r", "src/adapter.py", 1, 9, "adapter writes bytes to the socket"), ("r", "src/other.py", 1, 9, "frobnicate widgets nightly")],
+        "repo_id string, file string, start_line int, end_line int, content string",
+    )
+    production = spark.createDataFrame([("r", f"src/{n}.py") for n in ("session", "adapter", "other")], "repo_id string, file string")
+    modules = graph.modules(production, spark.createDataFrame([("r", "src/session.py", "src/adapter.py")], "repo_id string, source string, target string"))
+    counts = spark.createDataFrame([("r", 3, 3, 3, 3, 1, 1, 0)], "repo_id string, total_files long, python_files long, relevant_file_count long, production_module_count long, dependency_edge_count long, architecture_edge_count long, risk_signal_count long")
+    return chunks, modules, counts
+
+
+def test_pool_has_all_kinds_of_evidence(spark):
+    chunks, modules, counts = small_repository(spark)
+    pool = service.collect_pool("How many Python files does the Session module depend on?", chunks, modules, counts)
+    assert {e["evidence_type"] for e in pool} == {"code", "repository_metadata", "architecture"}
+    assert [e["pos"] for e in pool] == list(range(len(pool)))
+    (graph_row,) = service.architecture_evidence("Which module has the fewest connections?", modules).collect()
+    assert (graph_row.evidence_subtype, graph_row.node_count, graph_row.edge_count, list(graph_row.top_outgoing)[0]) == ("graph_summary", 3, 1, "session")
+
+
+def verifier(spark, *replies):
+    chunks, modules, counts = small_repository(spark)
+    pool = service.collect_pool("How does the Session send a request?", chunks, modules, counts)
+    provider = qa.FakeProvider(*replies)
+    return service.Verifier(spark, "r", pool, chunks, modules, counts, provider), provider
+
+
+def test_facts_come_before_the_provider(spark):
+    v, provider = verifier(spark, "supported")
+    found = v.verify(["The repository contains 4 Python files.", "The repository contains 3 Python files.", "session depends on adapter.x."])
+    assert [found[c][0] for c in found][:2] == ["unsupported", "supported"]
+    assert not any("Python files" in p for p in provider.prompts)
+
+
+def test_no_common_word_means_no_call(spark):
+    v, provider = verifier(spark, "supported")
+    assert v.verify(["Zebras quack."])["Zebras quack."][0] == "unsupported"
+    assert provider.prompts == []
+
+
+def test_retry_and_ladder(spark):
+    claim = "The Session sends a request through the adapter."
+    v, provider = verifier(spark, "no", '{"decision": "yes"}')
+    assert v.verify([claim])[claim][0] == "supported" and len(provider.prompts) == 2
+    assert provider.prompts[1].startswith("Look again")
+    v, provider = verifier(spark, "no", "no", "no", "partial")
+    decision, items = v.verify([claim])[claim]
+    assert decision == "partially_supported" and len(items) == 1
+    v, provider = verifier(spark, "no")
+    assert v.verify([claim])[claim] == ("unsupported", [])
+
+    def broken(prompt):
+        raise RuntimeError
+
+    v.provider = broken
+    assert v.verify([claim])[claim] == ("unsupported", [])
+
+
+def test_scan_of_all_chunks_comes_last(spark):
+    claim = "Widgets frobnicate nightly."
+    v, provider = verifier(spark, "supported")
+    v.pool = [e for e in v.pool if e["evidence_type"] == "code" and "other" not in e["file"]]
+    decision, items = v.verify([claim])[claim]
+    assert decision == "supported" and [e["file"] for e in items] == ["src/other.py"]
+    assert all("frobnicate" in p for p in provider.prompts)

@@ -42,3 +42,19 @@ def test_claims_are_split_without_a_shuffle(spark, small):
 
 def test_top_k_moves_only_the_best_rows(spark, small):
     assert "TakeOrderedAndProject" in plan_of(prose.retrieve_filtered(spark, small))
+
+
+@pytest.mark.parametrize("name", ["fact_answers", "graph_summary", "risk_report", "drift_summary", "module_ranking", "verify_claims", "repository_overview"])
+def test_plans_stay_small(spark, small, name):
+    plan = plan_of({**structure.QUERIES, **qa.QUERIES, **answers.QUERIES}[name](spark, small))
+    assert plan.count("Exchange ") <= 30
+    assert len(re.findall(r"lineitem\.parquet", plan)) <= 1
+
+
+@pytest.mark.parametrize("name", ["fact_answers", "module_answers", "verify_claims", "verify_numeric_claims"])
+def test_generated_code_is_not_outgrown(spark, small, name):
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert {**prose.QUERIES, **qa.QUERIES, **answers.QUERIES}[name](spark, small).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
