@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import bpe, mixing, pii, quality_rules, simhash
 from strata.llm.batches import small_batches
-from strata.storage import materialize
+from strata.storage import new_path, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -72,5 +72,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = new_path(spark, "stage-" + name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
