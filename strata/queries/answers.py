@@ -14,6 +14,7 @@ from strata.queries import prose, qa, structure
 from strata.queries import tables as t
 from strata.queries.structure import _with
 from strata.queries.tables import Repository, sql, tokens_sql
+from strata.sources import pyast
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -361,3 +362,33 @@ def numbered_context(spark: SparkSession, sf: str) -> DataFrame:
     best = retrieval.order_of(prose._top(spark, sf)).limit(5)
     rank = F.row_number().over(Window.orderBy(F.desc("retrieval_score"), "file", "start_line"))  # five rows
     return selection.context_text(best.withColumn("rank", rank))
+
+
+# --- the score's symbol, definition and weight terms ---------------------------------
+
+ASKED = "class c7 run"
+WEIGHTS = {"c7": 3.0, "run": 2.0}  # the third word has the weight one
+
+_SYMBOL_SCORE = f"""parts AS (SELECT 'src/m' || p_partkey || '.py' AS file, p_partkey AS k, p_partkey % 10 <> 3 AS fine, unnest([1, 5, 9]) AS start_line,
+        unnest(['import os' || chr(10) || 'from pkg.sub import a' || p_partkey || chr(10) || CASE WHEN p_partkey % 4 = 1 THEN 'import json' ELSE '' END || chr(10) || 'class C' || p_partkey || ':',
+                '    def run(self):' || chr(10) || '        return eval(''1'')' || chr(10) || chr(10) || 'async def f' || p_partkey || '():', '    pass' || chr(10) || CASE WHEN p_partkey % 10 = 3 THEN 'def broken(:' ELSE 'api_key = ''abc''' END]) AS content FROM part),
+    seen AS (SELECT file, start_line, {tokens_sql('content')} AS c, CASE WHEN NOT fine THEN [] WHEN start_line = 1 THEN ['c' || k] WHEN start_line = 5 THEN ['c' || k, 'run', 'f' || k] ELSE ['f' || k] END AS s,
+        fine AND (start_line = 5 OR (start_line = 1 AND k = 7)) AS starts FROM parts),
+    hit AS (SELECT *, len(list_intersect(['class', 'c7', 'run'], list_distinct(c))) / 3.0::DOUBLE AS hc, len(list_intersect(['class', 'c7', 'run'], s)) / 3.0::DOUBLE AS hs FROM seen),
+    term AS (SELECT *, (contains(array_to_string(c, ' '), '{ASKED}'))::INT::DOUBLE AS phrase, ((list_contains(c, 'class'))::INT * 1.0 + (list_contains(c, 'c7'))::INT * 3.0 + (list_contains(c, 'run'))::INT * 2.0)::DOUBLE / 6.0 AS body,
+        least(len(list_filter(c, lambda x: list_contains(['class', 'c7', 'run'], x))) / 10.0::DOUBLE, 1.0) AS freq, least(1.0, hs + CASE WHEN starts THEN 0.5 ELSE 0 END)::DOUBLE AS symbol, (starts)::INT::DOUBLE AS defined,
+        CASE WHEN hs > 0 THEN least(0.85, 0.65 + 0.20 * hs) WHEN hc > 0 THEN least(0.45, 0.25 + 0.20 * hc) ELSE 0 END::DOUBLE AS anchor FROM hit)"""
+
+
+@query(
+    _with(
+        """SELECT file, start_line, round(round((0.06 + 0.07 * phrase + 0.16 * body + 0.02 * freq + 0.19 * symbol + 0.12 * defined + 0.15 * anchor)::DOUBLE, 6) + 0.07, 6) AS retrieval_score, hs > 0 AS is_primary
+        FROM term WHERE phrase + body + freq + symbol + defined + anchor > 0""",
+        _SYMBOL_SCORE, "paths",
+    )
+)
+def score_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of generated sources for a question on a class: its symbols, where they begin, and words that weigh unequally."""
+    f = prose._python_files(spark, sf)
+    rows = retrieval.attach_symbols(retrieval.chunks(f, 4), pyast.symbols(pyast.facts(f)))
+    return retrieval.score(rows, ASKED, WEIGHTS).select("file", F.col("start_line").cast("bigint").alias("start_line"), "retrieval_score", "is_primary")
