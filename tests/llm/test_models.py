@@ -61,7 +61,7 @@ def test_classifier_against_plain_algebra(spark):
 
 
 def words_of(text):
-    return {w for w in re.split(r"[\x00-\x20!-/:-@\[-`{-~]+", text.lower()) if w}
+    return {w for w in re.split(r"[\t-\r ,.;:?\"'()]+", text.lower()) if w}
 
 
 def test_mixing_against_plain_algebra(spark):
@@ -108,6 +108,16 @@ def test_mixing_against_plain_algebra(spark):
     assert (p * (tokens * rate)[:, None]).sum(axis=0)[:2] == pytest.approx(targets[:2], rel=1e-3)
 
 
+def test_marks_on_words_tell_junk(spark):
+    """Junk that differs from clean text by the marks on its words alone."""
+    rng = np.random.default_rng(2)
+    words = ["alder", "birch", "cedar", "dogwood", "elm", "fir"]
+    rows = [(i, " ".join(w + ("$$$" if i % 4 == 0 else "") for w in rng.choice(words, 30))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 200, 3)], "doc_id long, quality int, toxic int")
+    for r in mixing.rates(spark.createDataFrame(rows, "doc_id long, text string"), labels, {"clean": 0.9, "junk": 0.1}).collect():
+        assert (r.p_junk > 0.5) == (r.doc_id % 4 == 0) and (r.p_clean > 0.9) == (r.doc_id % 4 != 0)
+
+
 def test_language_model_end_to_end(spark, monkeypatch):
     """Scores equal those of one plain model over all training texts, Baum-Welch rounds and stop included."""
     texts, docs, _ = labelled(spark, 40)
