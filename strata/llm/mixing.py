@@ -41,8 +41,9 @@ SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BREAK = _SPACE.copy()
-_BREAK[[ord(c) for c in ",.;:?\"'()"]] = True  # other marks stay with their words, as they tell junk
+_KIND = np.where(_SPACE, 0, 1).astype(np.uint8)  # 1: letters, 2: marks that tell junk, 0: what stands between
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum()]] = 2
+_KIND[[ord(c) for c in ",.;:?\"'()"]] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -75,7 +76,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Words of each text by white space, and the distinct buckets of its words shorn of common marks."""
+    """Words of each text by white space, and the distinct buckets of its words shorn of marks and of its runs of rarer marks."""
     counts, buckets = [], []
     for data, offsets in _slices(texts):
         many = len(offsets) - 1
@@ -88,10 +89,13 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         first = first[:-1]
         words = np.flatnonzero(_starts(~_SPACE[data], first))
         counts.append(np.diff(np.searchsorted(words, offsets)))
-        low, letters = _LOWER[data], ~_BREAK[data]
-        begin = np.flatnonzero(_starts(letters, first))
-        stop = len(data) - 1 - np.flatnonzero(_starts(letters[::-1], np.concatenate([[True], first[:0:-1]])))[::-1]
-        size = stop + 1 - begin
+        low, kind = _LOWER[data], _KIND[data]
+        change = first.copy()
+        change[1:] |= kind[1:] != kind[:-1]
+        begin = np.flatnonzero(change)
+        size, own = np.diff(begin, append=len(data)), kind[begin] > 0
+        begin, size = begin[own], size[own]
+        stop = begin + size - 1
         # The first and last eight bytes and the length stand for a word.
         padded = np.concatenate([low, np.zeros(8, np.uint8)])
         head, tail = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)

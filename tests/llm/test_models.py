@@ -61,7 +61,7 @@ def test_classifier_against_plain_algebra(spark):
 
 
 def words_of(text):
-    return {w for w in re.split(r"[\t-\r ,.;:?\"'()]+", text.lower()) if w}
+    return set(re.findall(r"[!#$%&*+/<=>@\[\\\]^_`{|}~-]+|[^\t-\r !-/:-@\[-`{-~]+", text.lower()))
 
 
 def test_mixing_against_plain_algebra(spark):
@@ -118,6 +118,16 @@ def test_marks_on_words_tell_junk(spark):
         assert (r.p_junk > 0.5) == (r.doc_id % 4 == 0) and (r.p_clean > 0.9) == (r.doc_id % 4 != 0)
 
 
+def test_marks_do_not_hide_words(spark):
+    """A word that tells a domain does so with marks on it, too."""
+    rng = np.random.default_rng(3)
+    words = ["alder", "birch", "cedar", "dogwood", "elm", "fir"]
+    rows = [(i, " ".join([*rng.choice(words, 30), *(["nettle" + ("###" if i % 24 == 0 else "")] if i % 4 == 0 else [])])) for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240) if i % 24], "doc_id long, quality int, toxic int")
+    for r in mixing.rates(spark.createDataFrame(rows, "doc_id long, text string"), labels, {"clean": 0.9, "toxic": 0.1}).collect():
+        assert (r.p_toxic > 0.9) == (r.doc_id % 4 == 0)
+
+
 def test_language_model_end_to_end(spark, monkeypatch):
     """Scores equal those of one plain model over all training texts, Baum-Welch rounds and stop included."""
     texts, docs, _ = labelled(spark, 40)
