@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, hmm, media, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tokenfiles
+from strata.llm import bpe, codes, hmm, manifest, media, mixing, packing, pii, quality_classifier, quality_rules, secrets, simhash, sql, tokenfiles
 from strata.llm.batches import small_batches
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(spark.read.parquet(f"{sf_dir}/documents.parquet"), manifest.tampered(F.col("text"), F.col("doc_id")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=1)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_bpe": op2_bpe,
@@ -74,6 +86,9 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_hmm": op9_hmm,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_merkle_manifest": sql.MERKLE_MANIFEST, "op13_vector_codes": sql.VECTOR_CODES}

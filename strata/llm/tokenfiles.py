@@ -185,7 +185,7 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -278,13 +278,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, director
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        writer, number, end, encoder = None, 0, np.array([end_id], np.uint32), _encoder(tokenizer)
+        writer, number, end, whole = None, 0, np.array([end_id], np.uint32), encoder(tokenizer)
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 if writer is None:
                     uri, number = f"{directory}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}.sb8", number + 1
                     writer = FileWriter(uri)
-                writer.add(doc_id.as_py(), np.concatenate([encoder.encode(text.as_py()), end]).astype(np.uint64))
+                writer.add(doc_id.as_py(), np.concatenate([whole.encode(text.as_py()), end]).astype(np.uint64))
                 if len(writer.docs) >= roll:
                     yield closed(writer, uri)
                     writer = None
