@@ -8,7 +8,7 @@ block distances to all entries accumulate dimension by dimension, ``np.add.at``
 the vectors to int64 tensors of sums and counts by part and entry, and the tensors
 of tasks (40 KB for 64 dimensions, whatever the corpus) merge level by level.
 
-Rows whose vector is null, or holds a null, NaN or infinite component, are dropped.
+Rows whose vector is null or empty, or holds a null, NaN or infinite component, are dropped.
 The vectors' length is that of the kept row with the smallest id; kept rows of another
 length are dropped too, as they have no distance to it, and a length that ``PARTS``
 does not divide is an error.  Components beyond 2 ** 18 count as 2 ** 18, so that all
@@ -41,9 +41,9 @@ Books = np.ndarray  # (part, entry, dimension within the part), int64
 
 
 def finite(vector: Column) -> Column:
-    """Whether a vector is there and all its components are finite."""
+    """Whether a vector has components and all of them are finite."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(vector.isNotNull() & fine, F.lit(False))
+    return F.coalesce((F.size(vector) > 0) & fine, F.lit(False))
 
 
 def scaled(flat: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int, code string, error str
 
 
 def by_hand(rows, parts=16, entries=64):
-    kept = [r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    kept = [r for r in rows if r[1] and all(x is not None and math.isfinite(x) for x in r[1])]
     kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     kept = [r for r in kept if len(r[1]) == len(kept[0][1])]
     ints = [[math.floor(256 * float(np.float32(x))) for x in r[1]] for r in kept]
@@ -54,7 +54,7 @@ def test_codes(spark, many):
     rows = [(int(i), [float(x) for x in np.round(rng.normal(0, 0.3, 32), 1).astype(np.float32)], int(i) % 5 if i % 4 else None, "c", "e") for i in rng.permutation(many)]
     rows += [rows[0], (rows[1][0], rows[2][1], 7, "c", "e"), (None, rows[1][1], None, "c", "e")]
     rows += [(-1, None, 1, "", ""), (-2, [], None, "", ""), (-3, [float("nan")] * 32, 1, "", ""), (-4, [float("-inf")] + [0.0] * 31, 1, "", ""), (-5, [None] + [0.0] * 31, 1, "", "")]
-    rows = [r for r in rows if r[1] != []] + [(10**6, [1.0] * 16, 2, "", "")]
+    rows += [(10**6, [1.0] * 16, 2, "", "")]
     assert found(codes.digests(spark.createDataFrame(rows, SCHEMA).repartition(5))) == by_hand(rows)
 
 
@@ -66,7 +66,7 @@ def test_nothing_kept(spark):
 def test_lengths(spark):
     with pytest.raises(ValueError, match="16 equal parts"):
         codes.digests(spark.createDataFrame([(1, [1.0] * 17, 1, "", "")], SCHEMA))
-    assert found(codes.digests(spark.createDataFrame([(1, [], 1, "", "")], SCHEMA)))[0][:3] == (1, "00" * 16, 0)
+    assert found(codes.digests(spark.createDataFrame([(1, [], 1, "", "")], SCHEMA))) == []
     big = found(codes.digests(spark.createDataFrame([(1, [3e38, -3e38] * 8, 1, "", ""), (2, [0.0] * 16, 1, "", "")], SCHEMA)))
     assert [r[2] for r in big] == [0, 0]
 
