@@ -9,8 +9,9 @@ a few sums; the rates are an expression of the steps so far and travel nowhere.
 
 Null text counts as empty and has no tokens; it takes part with rate and all.
 Labels repeated for a doc_id count once, by their largest values; a null doc_id
-has none.  Targets for a domain that no document belongs to stay unmet, which
-``Mix.totals`` shows.  Repeated rows are documents each; rows of one doc_id draw
+has none.  Steps go on until the targets are met or some steps have brought the totals no
+nearer to them; what then still lacks (a domain that no document belongs to has nothing
+to give) stands in the result by domain.  Words of any length count with all their bytes.  Repeated rows are documents each; rows of one doc_id draw
 alike.  An empty table gives an empty result.  Columns besides doc_id and text
 play no part and are kept by ``thin``.
 """
@@ -34,7 +35,7 @@ LEAST_DOCS = 5
 LEAST_Z = 5.0
 LEAST_SHARE = 0.1
 LEAST_RATIO = 2.0
-STEPS = 25
+PATIENCE = 3  # steps that may bring the totals no nearer to their targets
 DAMPING = 1e-3
 TOLERANCE = 1e-4  # of all target tokens
 SLICE_BYTES = 2 << 20
@@ -75,6 +76,26 @@ def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = end
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_powers: list[np.ndarray] = []  # of the base and of its inverse, as far as any slice has needed
+
+
+def _run_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of each run: a polynomial modulo 2 ** 64, by sums over the whole slice."""
+    if not _powers or len(_powers[0]) < len(data):
+        _powers[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(max(len(data), 2 * SLICE_BYTES), base, np.uint64)
+            steps[:1] = 1
+            _powers.append(np.multiply.accumulate(steps))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][: len(data)], out=sums[1:])
+    mixed = (sums[begin + size] - sums[begin]) * _powers[1][begin] ^ size.astype(np.uint64)
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed
+
+
 def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """Words of each text by white space, and the distinct buckets of its words shorn of marks and of its runs of rarer marks."""
     counts, buckets = [], []
@@ -95,15 +116,7 @@ def word_buckets(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         begin = np.flatnonzero(change)
         size, own = np.diff(begin, append=len(data)), kind[begin] > 0
         begin, size = begin[own], size[own]
-        stop = begin + size - 1
-        # The first and last eight bytes and the length stand for a word.
-        padded = np.concatenate([low, np.zeros(8, np.uint8)])
-        head, tail = np.zeros(len(begin), np.uint64), np.zeros(len(begin), np.uint64)
-        for i in range(8):
-            head = (head << np.uint64(8)) | np.where(i < size, padded[begin + i], 0).astype(np.uint64)
-            tail = (tail << np.uint64(8)) | np.where(i < size, low[np.maximum(stop - i, 0)], 0).astype(np.uint64)
-        mixed = (head * np.uint64(0x9E3779B97F4A7C15)) ^ (tail * np.uint64(0xC2B2AE3D27D4EB4F)) ^ size.astype(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = _run_hashes(low, begin, size)
         owner = np.searchsorted(offsets, begin, "right") - 1
         keys = np.unique(owner * BUCKETS + (mixed >> np.uint64(46)).astype(np.int64))
         cut = np.searchsorted(keys, np.arange(1, many) * BUCKETS)
@@ -246,8 +259,8 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, facto
     Targets are ``weights`` (shares of ``tokens``, by default as many as there
     are now) or ``factors`` of what each domain has now.
     """
-    k, m, steps, targets = len(DOMAINS), F.col("m"), [], None
-    for i in range(STEPS + 1):
+    k, m, steps, targets, best, waited = len(DOMAINS), F.col("m"), [], None, None, 0
+    while True:
         mix = Mix(tuple(steps), (), ())
         rate = mix.rate(m)
         at_work = F.when(F.col("rate") > 0, F.col("m")["n_tokens"]).otherwise(0)
@@ -261,13 +274,16 @@ def fit_rates(members: DataFrame, weights: dict[str, float] | None = None, facto
             else:
                 share = np.array([weights.get(d, 0.0) for d in DOMAINS])
                 targets = share / share.sum() * (totals.sum() if tokens is None else tokens)
-        short = targets - totals
-        if i == STEPS or np.abs(short).max() <= TOLERANCE * max(1.0, targets.sum()):
+        short, enough = targets - totals, TOLERANCE * max(1.0, targets.sum())
+        waited = 0 if best is None or np.abs(short).sum() < np.abs(best[1]).sum() - enough else waited + 1
+        if best is None or np.abs(short).sum() < np.abs(best[1]).sum():
+            best = tuple(steps), short
+        if np.abs(short).max() <= enough or waited == PATIENCE:
             break
         # The damping keeps a domain that hardly any document belongs to from driving all rates.
         damped = gram + DAMPING * max(np.trace(gram) / k, 1e-300) * np.eye(k)
         steps.append(tuple(float(x) for x in np.linalg.solve(damped, short)))
-    return Mix(tuple(steps), tuple(map(float, totals)), tuple(map(float, targets)))
+    return Mix(best[0], tuple(map(float, targets - best[1])), tuple(map(float, targets)))
 
 
 def _chance(doc_id: Column, seed: int) -> Column:
@@ -276,13 +292,17 @@ def _chance(doc_id: Column, seed: int) -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], tokens: float | None = None, seed: int = 5) -> DataFrame:
-    """doc_id, n_tokens, p_ of each domain, rate and copies (the rate rounded by a document's own chance)."""
+    """doc_id, n_tokens, p_ of each domain, rate, copies (the rate rounded by a document's own chance) and short_ of each domain.
+
+    ``short_`` is the same in all rows: the tokens by which the fitted rates miss that domain's target.
+    """
     features = featurise(docs)
     model = fit_classifier(features, labels)
     members = materialize(features.select("doc_id", posteriors_of_buckets("buckets", "n_tokens", model).alias("m")), "posteriors")
     mix, m = fit_rates(members, weights=weights, tokens=tokens), F.col("m")
     out = members.select("doc_id", m["n_tokens"].alias("n_tokens"), *(m[d].alias(f"p_{d}") for d in DOMAINS), mix.rate(m).alias("rate"))
-    return out.withColumn("copies", F.floor(F.col("rate") + _chance(F.col("doc_id"), seed)))
+    short = {f"short_{d}": F.lit(t - have) for d, have, t in zip(DOMAINS, mix.totals, mix.targets)}
+    return out.withColumns({"copies": F.floor(F.col("rate") + _chance(F.col("doc_id"), seed)), **short})
 
 
 def thin(docs: DataFrame, labels: DataFrame, factors: dict[str, float], seed: int = 5) -> DataFrame:
