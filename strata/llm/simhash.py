@@ -20,12 +20,13 @@ empty result; columns besides doc_id and text play no part and are kept by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, product
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.batches import release_memory, released
@@ -106,6 +107,12 @@ def _compare(radius: int):
     return run
 
 
+def _one_of_two(a: Column, b: Column) -> Column:
+    """Keeps (a, b) or (b, a) of each pair, and (a, a), so that each b gets about half of all a."""
+    odd = (a + b) % 2 == 1
+    return (a == b) | ((a < b) & odd) | ((a > b) & ~odd)
+
+
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(src, dst): spanning links of the distinct fingerprints in column ``fp``."""
     bits = 64 // WORDS
@@ -121,16 +128,18 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     tiles = cut.groupBy("place", "part", *(f"c{k}" for k in range(WORDS))).agg(F.collect_list("fp").alias("fps"))
     tiles = materialize(tiles, "tiles")
 
+    # Tiles meet by their names; the fingerprints of the pairs come by a tile's whole name, so a place of many tiles is many keys.
+    names = tiles.select(*own, F.col("place").alias("place_a"), F.col("part").alias("part_a"))
     steps = [s for s in product(range(-radius, radius + 1), repeat=WORDS) if sum(map(abs, s)) <= radius and s >= (0,) * WORDS]
-    step = F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps)))
-    near = tiles.select(*own, F.col("place").alias("place_a"), F.col("part").alias("part_a"), F.col("fps").alias("a"), step.alias("step"))
+    near = names.withColumn("step", F.explode(F.array(*(F.array(*map(F.lit, s)) for s in steps))))
     moved = [own[k] + F.col("step")[k] for k in range(WORDS)]
-    inside = [m.between(0, bits) for m in moved]
-    near = near.where(inside[0] & inside[1] & inside[2] & inside[3]).select("place_a", "part_a", "a", place(moved).alias("place_b"))
-    other = tiles.select(F.col("place").alias("place_b"), F.col("part").alias("part_b"), F.col("fps").alias("b"))
-    same = F.col("place_a") == F.col("place_b")
-    pairs = near.join(other, "place_b").where(~same | (F.col("part_a") <= F.col("part_b")))
-    pairs = pairs.select("a", "b", (same & (F.col("part_a") == F.col("part_b"))).alias("same"))
+    inside = reduce(Column.__and__, (m.between(0, bits) for m in moved))
+    near = near.where(inside).select("place_a", "part_a", place(moved).alias("place_b"))
+    near = near.join(tiles.select(F.col("place").alias("place_b"), F.col("part").alias("part_b")), "place_b")
+    near = near.where((F.col("place_a") != F.col("place_b")) | _one_of_two(F.col("part_a"), F.col("part_b")))
+    given = lambda side: tiles.select(F.col("place").alias(f"place_{side}"), F.col("part").alias(f"part_{side}"), F.col("fps").alias(side))
+    pairs = near.join(given("a"), ["place_a", "part_a"]).join(given("b"), ["place_b", "part_b"])
+    pairs = pairs.select("a", "b", ((F.col("place_a") == F.col("place_b")) & (F.col("part_a") == F.col("part_b"))).alias("same"))
     return pairs.mapInArrow(_compare(radius), "src bigint, dst bigint")
 
 
