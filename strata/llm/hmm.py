@@ -10,7 +10,8 @@ more share for all tokens never seen.  Every text thus has an exact probability.
    become sequences of numbers in it.
 2. Dictionaries meet in buckets by word, where training counts are summed and
    sent back to the chunks.  A word counts once for each chunk there, however
-   many documents hold it.
+   many documents hold it.  Beyond ``FAN`` chunks sums are made in levels, so no
+   task ever holds one bucket's words of all chunks.
 3. Baum-Welch: each chunk sums expected counts over its training texts, groups
    of partitions add them, the driver re-estimates.  Every training text counts
    whole in each round; rounds go on until one gains no more than ``TOLERANCE``
@@ -53,6 +54,7 @@ STEP_TOKENS = 60_000  # in work at a time
 SCALE_EVERY = 4
 TOLERANCE = 1e-4  # of the log likelihood of all training texts
 PRIOR = 200.0
+FAN = 256  # chunks, or sums of chunks, whose words of one bucket a task sees
 
 
 def symbol_of(word: bytes) -> int:
@@ -181,36 +183,91 @@ def encode(docs: DataFrame, buckets: int) -> DataFrame:
     return materialize(given.mapInArrow(run, ddl), "chunks")
 
 
-def count_words(chunks: DataFrame) -> DataFrame:
-    """(bucket, chunk, places, counts) with training counts over all chunks; one row of each bucket has totals by symbol."""
+_TOTALS = "array<struct<symbol:int,tokens:bigint,kinds:bigint>>"
 
-    def run(table: pa.Table) -> pa.Table:
-        total: dict[bytes, int] = {}
-        rows = [(r["words"].split(b"\n"), np.frombuffer(r["counts"], np.int32)) for r in table.select(["words", "counts"]).to_pylist()]
-        for words, counts in rows:
-            for w, c in zip(words, counts.tolist()):
-                total[w] = total.get(w, 0) + c
-        back = [np.fromiter(map(total.__getitem__, words), np.int64, len(words)).tobytes() for words, _ in rows]
-        rows.clear()
-        seen = [(symbol_of(w), c) for w, c in total.items() if c]
-        symbols = np.array([s for s, _ in seen], np.int64)
-        tokens = np.bincount(symbols, [c for _, c in seen], SYMBOLS).astype(np.int64)
-        kinds = np.bincount(symbols, minlength=SYMBOLS)
-        some = np.flatnonzero(kinds)
-        totals = [{"symbol": s, "tokens": n, "kinds": k} for s, n, k in zip(some.tolist(), tokens[some].tolist(), kinds[some].tolist())]
-        entry = pa.list_(pa.struct([("symbol", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64())]))
-        return pa.table(
-            {
-                "chunk": table.column("chunk"),
-                "places": table.column("places"),
-                "counts": pa.array(back, pa.binary()),
-                "totals": pa.array([totals, *[[]] * (len(back) - 1)], entry),
-            }
-        )
 
+def _sum_of(table: pa.Table, kind: type) -> dict[bytes, int]:
+    """Counts of each word over the rows of a table."""
+    total: dict[bytes, int] = {}
+    for words, counts in zip(table.column("words"), table.column("counts")):
+        for w, c in zip(words.as_py().split(b"\n"), np.frombuffer(counts.as_py(), kind).tolist()):
+            total[w] = total.get(w, 0) + c
+    return total
+
+
+def _looked_up(words: pa.ChunkedArray, total: dict[bytes, int]) -> pa.Array:
+    own = (w.as_py().split(b"\n") for w in words)
+    return pa.array([np.fromiter(map(total.__getitem__, ws), np.int64, len(ws)).tobytes() for ws in own], pa.binary())
+
+
+def _by_symbol(total: dict[bytes, int]) -> list[dict]:
+    """Tokens and distinct words of each symbol."""
+    seen = [(symbol_of(w), c) for w, c in total.items() if c]
+    symbols = np.array([s for s, _ in seen], np.int64)
+    tokens = np.bincount(symbols, [c for _, c in seen], SYMBOLS).astype(np.int64)
+    kinds = np.bincount(symbols, minlength=SYMBOLS)
+    return [{"symbol": s, "tokens": int(tokens[s]), "kinds": int(kinds[s])} for s in np.flatnonzero(kinds).tolist()]
+
+
+def _totals_column(first: list[dict], many: int) -> pa.Array:
+    entry = pa.list_(pa.struct([("symbol", pa.int32()), ("tokens", pa.int64()), ("kinds", pa.int64())]))
+    return pa.array([first, *[[]] * (many - 1)], entry)
+
+
+def count_words(chunks: DataFrame) -> DataFrame:
+    """(chunk, places, counts, totals): training counts over all chunks; one row of each bucket has totals by symbol.
+
+    A task sees one bucket's words of at most about FAN chunks at a time.  Up to FAN
+    chunks a single step sums and looks up; beyond, sets of chunks are summed, then sets
+    of sets until a bucket is one, and each set of chunks looks its words up in that sum.
+    """
     parts = chunks.select("chunk", F.explode("parts").alias("p")).select("chunk", "p.*")
-    ddl = "chunk bigint, places binary, counts binary, totals array<struct<symbol:int,tokens:bigint,kinds:bigint>>"
-    return materialize(parts.groupBy("bucket").applyInArrow(run, ddl), "word-counts")
+    many = -(-chunks.count() // FAN)
+    if many > 1:
+        return _count_in_levels(parts, many)
+
+    def run(table: pa.Table) -> pa.Table:
+        total = _sum_of(table, np.int32)
+        back = _looked_up(table.column("words"), total)
+        return pa.table({"chunk": table.column("chunk"), "places": table.column("places"), "counts": back, "totals": _totals_column(_by_symbol(total), len(back))})
+
+    return materialize(parts.groupBy("bucket").applyInArrow(run, f"chunk bigint, places binary, counts binary, totals {_TOTALS}"), "word-counts")
+
+
+def _count_in_levels(parts: DataFrame, many: int) -> DataFrame:
+    def merge(table: pa.Table) -> pa.Table:
+        total = _sum_of(table, np.int64)
+        words, counts = b"\n".join(total), np.fromiter(total.values(), np.int64, len(total)).tobytes()
+        row = {"bucket": table.column("bucket")[0].as_py(), "set": table.column("set")[0].as_py(), "words": words, "counts": counts}
+        return pa.Table.from_pylist([row], pa.schema([("bucket", pa.int32()), ("set", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
+
+    def widen(table: pa.Table) -> pa.Table:
+        wide = [np.frombuffer(c.as_py(), np.int32).astype(np.int64).tobytes() for c in table.column("counts")]
+        return merge(table.set_column(table.schema.get_field_index("counts"), "counts", pa.array(wide, pa.binary())))
+
+    def look_up(table: pa.Table) -> pa.Table:
+        own = pc.is_valid(table.column("chunk"))
+        total, rows = _sum_of(table.filter(pc.invert(own)), np.int64), table.filter(own)
+        back = _looked_up(rows.column("words"), total)
+        return pa.table({"chunk": rows.column("chunk"), "places": rows.column("places"), "counts": back, "totals": _totals_column([], len(back)) if len(back) else pa.array([], _totals_column([], 1).type)})
+
+    def tell(table: pa.Table) -> pa.Table:
+        total = _sum_of(table, np.int64)
+        return pa.table({"totals": _totals_column(_by_symbol(total), 1)})
+
+    ddl = "bucket int, set bigint, words binary, counts binary"
+    placed = parts.withColumn("set", F.pmod(F.xxhash64("chunk"), F.lit(many)))
+    sums, left = materialize(placed.select("bucket", "set", "words", "counts").groupBy("bucket", "set").applyInArrow(widen, ddl), "word-sums"), many
+    while left > 1:
+        left = -(-left // FAN)
+        merged = sums.withColumn("set", F.pmod("set", F.lit(left))).groupBy("bucket", "set").applyInArrow(merge, ddl)
+        sums = materialize(merged, "word-sums")
+    given = sums.select(F.lit(None).cast("bigint").alias("chunk"), "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(many - 1).cast("bigint"))).alias("set"), "words", F.lit(None).cast("binary").alias("places"), "counts")
+    asked = placed.select("chunk", "bucket", "set", "words", "places", F.lit(None).cast("binary").alias("counts"))
+    found = asked.unionByName(given).groupBy("bucket", "set").applyInArrow(look_up, f"chunk bigint, places binary, counts binary, totals {_TOTALS}")
+    told = sums.groupBy("bucket").applyInArrow(tell, f"totals {_TOTALS}")
+    none = [F.lit(None).cast(c).alias(n) for n, c in (("chunk", "bigint"), ("places", "binary"), ("counts", "binary"))]
+    return materialize(found.unionByName(told.select(*none, "totals")), "word-counts")
 
 
 @dataclass(frozen=True)
@@ -419,7 +476,7 @@ def train(chunks: DataFrame, background: np.ndarray) -> Hmm:
 
 
 def buckets_for(docs: DataFrame) -> int:
-    """Buckets of words: four for each partition of the input, so that a bucket's share of all dictionaries stays small."""
+    """Buckets of words: four for each partition of the input, up to 4096: a bucket of FAN chunks is then half a megabyte."""
     return min(4096, max(16, 4 * docs.rdd.getNumPartitions()))
 
 
@@ -459,7 +516,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 release_memory()
 
-    back = counted.groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("places", "counts")).alias("found"))
+    back = counted.where("chunk is not null").groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("places", "counts")).alias("found"))
     joined = chunks.select("chunk", "doc_ids", "held", "lengths", "tokens", "symbols").join(back, F.col("chunk") == F.col("of"))
     joined = joined.select("doc_ids", "held", "lengths", "tokens", "symbols", "found")
     return joined.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
