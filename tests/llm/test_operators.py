@@ -391,8 +391,12 @@ def test_word_chances_sum_to_one():
     assert hmm.symbol_of(b"") == hmm.END and max(hmm.symbol_of(w) for w in (b"a", b"abc", b"abcd", b"\xff" * 9)) < hmm.END
 
 
-def test_language_model(spark, docs, given, monkeypatch):
+@pytest.mark.parametrize(("fan", "buckets"), [(256, None), (2, None), (3, 1)])
+def test_language_model(spark, docs, given, monkeypatch, fan, buckets):
     monkeypatch.setattr(hmm, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(hmm, "FAN", fan)
+    if buckets:
+        monkeypatch.setattr(hmm, "buckets_for", lambda _: buckets)
     found = hmm.score(docs).collect()
     tokens = lambda t: [*bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()).split(), b""]
     c = Counter(w for i, t in given if not cases.held(i, 7) for w in tokens(t))
@@ -444,6 +448,21 @@ def test_word_buckets():
     assert again[0].tolist() == counts.tolist() and all((a == b).all() for a, b in zip(again[1], buckets))
 
 
+def test_words_differ_in_the_middle():
+    long = "abcdefgh" + "x" * 20 + "ijklmnop"
+    texts = [long, long.replace("xxxx", "xxyx", 1), long.replace("x", "y"), f"{long} {long[:12]}q{long[13:]}"]
+    _, buckets = mixing.word_buckets(pa.array(texts))
+    assert len({b for row in buckets for b in row.tolist()}) == 4 and [len(b) for b in buckets] == [1, 1, 1, 2]
+    assert all(buckets[0][0] in mixing.word_buckets(pa.array([f"{'so ' * n}{long}"]))[1][0] for n in range(30))
+
+
+def test_unreachable_targets_show(spark):
+    docs = spark.createDataFrame([(i, "some fine words here") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(25)], "doc_id long, quality int, toxic int")
+    short = mixing.rates(docs, labels, {"clean": 0.5, "toxic": 0.5}).select("short_clean", "short_junk", "short_toxic").distinct().collect()
+    assert len(short) == 1 and short[0].short_toxic > 50 and abs(sum(short[0])) < 120
+
+
 def test_rates_meet_targets(spark):
     rows = [(i, ("clown trash " if i % 4 == 0 else "fine words ") + "the same text here for all " * (1 + i % 3)) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -494,3 +513,29 @@ def test_keep_one_each_of_every_group(spark):
         groups = [g for g in groups if g not in near] + [{fp}.union(*near)]
     assert len(groups) < len(prints)
     assert simhash.keep_one_each(nameless).count() == len(groups)
+
+
+def test_one_place_of_many_tiles(spark, monkeypatch):
+    """Fingerprints of one place: balanced pairs of tiles, and the components of all pairs."""
+    monkeypatch.setattr(simhash, "TILE", 20)
+    rng = np.random.default_rng(6)
+    prints = set()
+    while len(prints) < 1200:
+        p = sum(int(sum(1 << int(b) for b in rng.choice(16, 8, replace=False))) << (16 * k) for k in range(4))
+        prints |= {p, p ^ 0b11 if bin(p & 3).count("1") == 1 else p}
+    signed = [(int(np.uint64(p).astype(np.int64)),) for p in prints]
+    got = {}
+    for r in components.components(simhash.links(spark.createDataFrame(signed, "fp long"))).collect():
+        got.setdefault(r.root, set()).add(int(np.int64(r.node).astype(np.uint64)))
+    rows, classes = sorted(prints), {}
+    for (_, _, c), p in zip(groups_of(list(enumerate(rows))), rows):
+        classes.setdefault(c, set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in classes.values() if len(c) > 1)
+
+
+def test_each_tile_gets_half_the_pairs(spark):
+    parts = spark.range(64)
+    both = parts.select(F.col("id").alias("a")).join(parts.select(F.col("id").alias("b")), simhash._one_of_two(F.col("a"), F.col("b")))
+    rows = [(r.a, r.b) for r in both.collect()]
+    assert len({frozenset(r) for r in rows}) == len(rows) == 64 * 65 // 2
+    assert set(Counter(b for _, b in rows).values()) <= {32, 33}
