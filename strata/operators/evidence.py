@@ -98,9 +98,9 @@ def diverse_code(chunks: DataFrame, query: str, k: int = 6) -> DataFrame:
     structural = (F.col("file_hits") + F.col("symbol_hits")) > 0
     any_structural = scored.agg(F.bool_or(structural).alias("some"))  # a single row
     kept = scored.crossJoin(F.broadcast(any_structural)).where(structural | ~F.coalesce("some", F.lit(False)))
-    within = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "pos"))
+    within = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("score"), "pos", "start_line"))
     ranked = kept.withColumn("again", (within > 1).cast("int"))
-    return ranked.orderBy("again", F.desc("score"), "pos").limit(k).select("file", "start_line", "score", F.col("again").cast("bigint").alias("again"))
+    return ranked.orderBy("again", F.desc("score"), "pos", "file", "start_line").limit(k).select("file", "start_line", "score", F.col("again").cast("bigint").alias("again"))
 
 
 def structural_first(chunks: DataFrame, query: str, k: int) -> DataFrame:

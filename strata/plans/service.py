@@ -152,7 +152,7 @@ class Verifier:
     def targeted(self, claim: str, known: list[dict]) -> list[dict]:
         """Chunks of the repository outside the evidence that fit the claim."""
         used = self.spark.createDataFrame([(e["file"], e["start_line"], e["end_line"]) for e in known if e["evidence_type"] == "code"], "file string, start_line int, end_line int")
-        left = with_symbols(selection.unused_chunks(self.chunks, used)).withColumn("pos", F.xxhash64("file", "start_line"))
+        left = with_symbols(selection.unused_chunks(self.chunks, used)).withColumn("pos", F.lit(0))  # ties go by file and line
         best = evidence.diverse_code(left, claim).select("file", "start_line", "score", "again")
         found = left.join(F.broadcast(best), ["file", "start_line"]).orderBy("again", F.desc("score"), "file", "start_line")  # at most six
         items = [{"pos": -1 - i, "evidence_type": "code", "file": r.file, "start_line": r.start_line, "end_line": r.end_line, "content": r.content} for i, r in enumerate(found.collect())]

@@ -9,10 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from strata.queries import answers, prose, qa, structure
+from strata.queries import answers, levels, prose, qa, structure
 
-CORE = {**structure.QUERIES, **prose.QUERIES, **qa.QUERIES, **answers.QUERIES}
-ORACLE = {**structure.ORACLE, **prose.ORACLE, **qa.ORACLE, **answers.ORACLE}
+CORE = {**structure.QUERIES, **prose.QUERIES, **qa.QUERIES, **answers.QUERIES, **levels.QUERIES}
+ORACLE = {**structure.ORACLE, **prose.ORACLE, **qa.ORACLE, **answers.ORACLE, **levels.ORACLE}
 
 
 @pytest.fixture(scope="module")
