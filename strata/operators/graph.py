@@ -251,14 +251,38 @@ def _local_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield solved(repo, pairs)
 
 
+def _jumped(rows: DataFrame) -> DataFrame:
+    """Each (repo_id, node, low, via, was) with the least label of its pointer's path too, and a pointer twice as long."""
+    there = rows.select(KEY, F.col("node").alias("via"), F.col("low").alias("their_low"), F.col("via").alias("their_via"))
+    return rows.join(there, [KEY, "via"], "left").select(KEY, "node", F.least("low", "their_low").alias("low"), F.col("their_via").alias("via"), "was")
+
+
 def _spread(labels: DataFrame, edges: DataFrame, rounds_name: str) -> DataFrame:
-    """Least label that reaches each node along the edges; labels has (repo_id, node, label)."""
+    """Least label that reaches each node along the edges; labels has (repo_id, node, label), null where a node has none.
+
+    A step along all edges also tells each node through which neighbour its least label came. Along these
+    pointers labels then travel by doubling, 4, 16, 64 ... nodes at a time, so that a long
+    path costs the logarithm of its length; then all edges are tried again, until nothing changes.
+    """
+    pointer = f"struct<label:{labels.schema['label'].dataType.simpleString()},node:string>"
     while True:
-        sent = edges.join(labels.withColumnRenamed("node", "source"), [KEY, "source"]).groupBy(KEY, F.col("target").alias("node")).agg(F.min("label").alias("sent"))
-        new = materialize(labels.join(sent, [KEY, "node"], "left").select(KEY, "node", F.least("label", "sent").alias("new"), "label"), rounds_name)
-        labels = new.select(KEY, "node", F.col("new").alias("label"))
-        if new.where("new != label").isEmpty():
+        own = labels.select(KEY, F.col("node").alias("source"), "label")
+        sent = edges.join(own, [KEY, "source"]).groupBy(KEY, F.col("target").alias("node"))
+        # A null label is larger than all others: struct order would put it first.
+        best = F.coalesce(F.min(F.when(F.col("label").isNotNull(), F.struct("label", F.col("source").alias("node")))), F.min(F.struct("label", F.col("source").alias("node"))))
+        sent = sent.agg(best.cast(pointer).alias("best"))
+        low = F.least("label", "best.label")
+        new = labels.join(sent, [KEY, "node"], "left").select(KEY, "node", low.alias("low"), "label", F.col("best.node").alias("via"))
+        new = materialize(new, rounds_name)
+        if new.where("not (low <=> label)").isEmpty():
             return labels
+        jump = new.select(KEY, "node", "low", "via")
+        while True:
+            new = materialize(_jumped(_jumped(jump.withColumn("was", F.col("low")))), rounds_name)
+            jump = new.select(KEY, "node", "low", "via")
+            if new.where("not (low <=> was)").isEmpty():
+                break
+        labels = jump.select(KEY, "node", F.col("low").alias("label"))
 
 
 def _distributed_components(edges: DataFrame) -> DataFrame:
@@ -270,18 +294,17 @@ def _distributed_components(edges: DataFrame) -> DataFrame:
         a = colours.select(KEY, F.col("node").alias("source"), F.col("label").alias("from_label"))
         b = colours.select(KEY, F.col("node").alias("target"), F.col("label").alias("to_label"))
         inner = edges.join(a, [KEY, "source"]).join(b, [KEY, "target"]).where("from_label = to_label")
-        inner = materialize(inner.select(KEY, F.col("source").alias("target"), F.col("target").alias("source"), F.col("to_label").alias("label")), "inner")
-        reached = materialize(colours.where("node = label").select(KEY, "node", "label"), "reached")
-        while True:
-            step = inner.join(reached.select(KEY, F.col("node").alias("source")), [KEY, "source"], "left_semi").select(KEY, F.col("target").alias("node"), "label")
-            more = materialize(reached.union(step).distinct(), "reached")
-            if more.count() == reached.count():
-                break
-            reached = more
-        done.append(reached.withColumnRenamed("label", "component"))
+        inner = materialize(inner.select(KEY, F.col("source").alias("target"), F.col("target").alias("source")), "inner")
+        back = _spread(colours.select(KEY, "node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label")), inner, "reached")
+        reached = back.where("label is not null").select(KEY, "node", F.col("label").alias("component"))
+        done.append(reached)
         names = materialize(names.join(reached, [KEY, "node"], "left_anti"), "nodes")
         edges = edges.join(names.withColumnRenamed("node", "source"), [KEY, "source"], "left_semi").join(names.withColumnRenamed("node", "target"), [KEY, "target"], "left_semi")
-        edges = materialize(edges.select(KEY, "source", "target"), "edges")
+        edges = materialize(_trim(edges.select(KEY, "source", "target")), "edges")
+        # Nodes that trimming leaves without edges are components of their own.
+        left = edges.select(KEY, F.col("source").alias("node")).union(edges.select(KEY, "target")).distinct()
+        done.append(names.join(left, [KEY, "node"], "left_anti").select(KEY, "node", F.col("node").alias("component")))
+        names = materialize(left, "nodes")
     if not done:
         return names.withColumn("component", F.col("node"))
     out = done[0]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import paths, text, vocab
 from strata.functions.text import words
+from strata.operators import ranges
 from strata.storage import materialize
 
 #: Line ends besides \n that split a text, and a last empty line that does not count.
@@ -209,23 +210,23 @@ def neighbours(retrieved: DataFrame, rows: DataFrame, distance: int = 1) -> Data
 
 def contained(evidence: DataFrame, rows: DataFrame) -> DataFrame:
     """Evidence whose line range lies within a chunk of the same file."""
-    c = rows.select(F.col("file").alias("_file"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
-    inside = (F.col("file") == F.col("_file")) & (F.col("start_line") >= F.col("_start")) & (F.col("end_line") <= F.col("_end"))
-    return evidence.join(c, inside, "left_semi")
+    return ranges.within(evidence, rows)
 
 
 def overlapping(evidence: DataFrame, rows: DataFrame) -> DataFrame:
     """(evidence columns, chunk_start, chunk_end) of chunks that an evidence range meets; without lines the file is enough."""
     c = rows.select(paths.backslashed(F.col("file")).alias("_file"), F.col("start_line").alias("chunk_start"), F.col("end_line").alias("chunk_end"))
-    s, e = F.col("start_line"), F.col("end_line")
-    meets = s.isNull() | e.isNull() | ((s <= F.col("chunk_end")) & (F.col("chunk_start") <= e))
-    return evidence.join(c, (paths.backslashed(F.col("file")) == F.col("_file")) & meets).drop("_file").distinct()
+    named = evidence.withColumn("_own", paths.backslashed(F.col("file")))
+    whole = F.col("start_line").isNull() | F.col("end_line").isNull()
+    met = ranges.meeting(named.where(~whole), c, ("_own", "start_line", "end_line"), ("_file", "chunk_start", "chunk_end"))
+    lineless = named.where(whole).join(c, F.col("_own") == F.col("_file"))
+    return met.unionByName(lineless).drop("_file", "_own").distinct()
 
 
 def attach_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """Chunks with the classes and functions whose lines they meet; symbols has file, kind, name, start_line, end_line."""
     s = symbols.select(F.col("file").alias("_file"), "kind", "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    met = rows.select("file", "start_line", "end_line").join(s, (F.col("file") == F.col("_file")) & (F.col("s") <= F.col("end_line")) & (F.col("e") >= F.col("start_line")))
+    met = ranges.meeting(rows.select("file", "start_line", "end_line"), s, ("file", "start_line", "end_line"), ("_file", "s", "e"))
     item = F.struct(F.col("s").alias("start_line"), "name", F.col("e").alias("end_line"))
     names = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item))), lambda x: F.struct(x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line")))
     grouped = met.groupBy("file", "start_line").agg(F.struct(names("class").alias("classes"), names("function").alias("functions")).alias("symbols"))

@@ -97,6 +97,12 @@ def scc_cycles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.on_cycle(Repository(spark, sf, "customer").edges).select("repo_id", "node", "component")
 
 
+@query(_with("SELECT repo_id, node, component FROM member", _REACH.replace("cedges", "edges"), "edges"))
+def scc_distributed(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles of nations by joins over the cluster, as for repositories too large for a task."""
+    return graph.on_cycle(Repository(spark, sf).edges, 0).select("repo_id", "node", "component")
+
+
 @query(
     _with(
         """SELECT repo_id, 'circular_dependency' AS signal, 'high' AS severity, 'Circular dependency detected across ' || count(*) || ' production modules: ' || string_agg(node, ', ' ORDER BY node) || '.' AS text

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -71,6 +72,21 @@ def test_cycles_local_and_distributed(spark, local):
     assert sorted(r.cycle for r in graph.cycles(e, local).collect()) == [["a", "b", "c"], ["d", "e"], ["s"]]
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(1)
+    rows = [(f"r{rng.randint(0, 5)}", f"n{rng.randint(0, 60)}", f"n{rng.randint(0, 60)}") for _ in range(350)]
+    e = spark.createDataFrame(rows, "repo_id string, source string, target string")
+    assert sorted(map(tuple, graph.components(e, 0).collect())) == sorted(map(tuple, graph.components(e).collect()))
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(name) or write(df, name))
+    e = spark.createDataFrame([("r", f"n{i:05d}", f"n{(i + 1) % 10000:05d}") for i in range(10000)], "repo_id string, source string, target string")
+    assert [tuple(r) for r in graph.components(e, 0).groupBy("component").count().collect()] == [("n00000", 10000)]
+    assert len(written) < 40
+
+
 def test_cycles_of_nothing(spark):
     assert graph.cycles(spark.createDataFrame([], "repo_id string, source string, target string")).count() == 0
 
