@@ -67,8 +67,8 @@ def resolve(candidates: DataFrame, modules: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(repo_id, node, incoming, outgoing, total) by edge triples."""
-    ends = edges.select(KEY, F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    ends = ends.union(edges.select(KEY, F.col("target"), F.lit(0), F.lit(1)))
+    end = lambda c, o, i: F.struct(F.col(c).alias("node"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    ends = edges.select(KEY, F.explode(F.array(end("source", 1, 0), end("target", 0, 1))).alias("e")).select(KEY, "e.*")
     out = ends.groupBy(KEY, "node").agg(F.sum("i").alias("incoming"), F.sum("o").alias("outgoing"))
     return out.withColumn("total", F.col("incoming") + F.col("outgoing"))
 
@@ -136,26 +136,25 @@ def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(KEY, "id").join(ends, [KEY, "id"], "left_anti")
 
 
+def _first_nodes(degree: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("degree"), "id")).cast("bigint")
+    return degree.withColumn("rank", rank).where(F.col("rank") <= k).select(KEY, "rank", "id", "degree")
+
+
 def top_connected(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """(repo_id, rank, id, degree) of the k most connected nodes of each repository."""
-    ranked = node_degrees(nodes, edges).withColumn("rank", F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("degree"), "id")).cast("bigint"))
-    return ranked.where(F.col("rank") <= k).select(KEY, "rank", "id", "degree")
+    return _first_nodes(node_degrees(nodes, edges), k)
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
     """One row a repository: counts, isolated nodes sorted, most connected nodes by rank.
 
-    Nodes are ranked and folded in one partitioning by repository; each edge counts at both its ends, which are nodes.
+    The k first nodes come by a rank that is a filter, all else by plain sums; each edge counts at both its ends, which are nodes.
     """
-    rank = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("degree"), "id"))
-    ranked = node_degrees(nodes, edges).withColumn("rank", rank)
-    folded = ranked.groupBy(KEY).agg(
-        F.count("*").alias("node_count"),
-        F.sum("degree").alias("ends"),
-        F.sort_array(F.collect_list(F.when(F.col("degree") == 0, F.col("id")))).alias("isolated_nodes"),
-        F.sort_array(F.collect_list(F.when(F.col("rank") <= k, F.struct("rank", "id")))).alias("ranked"),
-    )
-    return folded.select(
+    degree = materialize(node_degrees(nodes, edges), "degrees")
+    folded = degree.groupBy(KEY).agg(F.count("*").alias("node_count"), F.sum("degree").alias("ends"), F.sort_array(F.collect_list(F.when(F.col("degree") == 0, F.col("id")))).alias("isolated_nodes"))
+    first = _first_nodes(degree, k).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("ranked"))
+    return folded.join(first, KEY).select(
         KEY,
         "node_count",
         (F.col("ends") / 2).cast("bigint").alias("edge_count"),

@@ -352,9 +352,8 @@ def term_forms(spark: SparkSession, sf: str) -> DataFrame:
 )
 def expanded_order(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieved chunks before their neighbours, at most three times as many as were retrieved, with their places."""
-    ordered = selection.expanded_order(retrieval.neighbours(prose._top(spark, sf), prose._chunks(spark, sf)))
-    rows = ordered.select("file", F.col("start_line").cast("bigint").alias("start_line"), "context_role").collect()
-    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "file string, start_line bigint, context_role string, place bigint")
+    rows = retrieval.neighbours(prose._top(spark, sf), prose._chunks(spark, sf))
+    return selection.expanded_places(rows).select("file", F.col("start_line").cast("bigint").alias("start_line"), "context_role", "place")
 
 
 @query(_with("SELECT string_agg('[' || n || '] ' || file || ':' || start_line || '-' || end_line || chr(10) || content, chr(10) || chr(10) ORDER BY n) AS context FROM (SELECT top.*, content, row_number() OVER (ORDER BY retrieval_score DESC, file, start_line) AS n FROM top JOIN chunks USING (file, start_line)) WHERE n <= 5", prose._SCORE + ", " + prose._STRONG, "chunks"))

@@ -10,6 +10,7 @@ from strata.operators import drift, evidence, graph, layers, risk, selection
 from strata.queries import tables as t
 from strata.queries.tables import Repository, sql
 from strata.sources import files as source_files
+from strata.sources import udtf
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,17 +43,17 @@ _joined = lambda c: F.array_join(c, ",")
     )
 )
 def edge_degree_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.degrees(Repository(spark, sf).edges)
+    return graph.degrees(Repository(spark, sf, once=("lines", "edges")).edges)
 
 
 @query(sql("SELECT repo_id, count(*) AS total_edges, count(DISTINCT source) AS files_with_dependencies, count(DISTINCT target) AS files_depended_on FROM edges GROUP BY repo_id", "edges"))
 def edge_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.edge_summary(Repository(spark, sf).edges)
+    return graph.edge_summary(Repository(spark, sf, once=("lines", "edges")).edges)
 
 
 @query(sql("SELECT repo_id, file, module_name, array_to_string(outs, ',') AS outs, array_to_string(ins, ',') AS ins, outgoing_count, incoming_count, total_connections FROM mods", "mods"))
 def module_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    m = Repository(spark, sf).modules
+    m = Repository(spark, sf, once=("edges", "modules")).modules
     return m.select("repo_id", "file", "module_name", _joined("outgoing_dependencies").alias("outs"), _joined("incoming_dependencies").alias("ins"), "outgoing_count", "incoming_count", "total_connections")
 
 
@@ -69,20 +70,20 @@ _DEGREE = """deg AS (SELECT p.repo_id, p.file AS id, count(e.f) AS degree FROM c
     )
 )
 def graph_summary(spark: SparkSession, sf: str) -> DataFrame:
-    m = Repository(spark, sf, "customer").modules
+    m = Repository(spark, sf, "customer", once=("edges",)).modules
     g = graph.graph_summary(graph.graph_nodes(m), graph.graph_edges(m))
     return g.select("repo_id", "node_count", "edge_count", "isolated_node_count", _joined("isolated_nodes").alias("isolated_nodes"), _joined("top_connected_nodes").alias("top_connected_nodes"))
 
 
 @query(_with("SELECT repo_id, id FROM deg WHERE degree = 0", _DEGREE, "cprod", "cpairs"))
 def isolated_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    m = Repository(spark, sf, "customer").modules
+    m = Repository(spark, sf, "customer", once=("edges",)).modules
     return graph.isolated(graph.graph_nodes(m), graph.graph_edges(m)).select("repo_id", "id")
 
 
 @query(_with("SELECT repo_id, rank, id, degree FROM ranked WHERE rank <= 5", _DEGREE, "cprod", "cpairs"))
 def top_connected(spark: SparkSession, sf: str) -> DataFrame:
-    m = Repository(spark, sf, "customer").modules
+    m = Repository(spark, sf, "customer", once=("edges",)).modules
     return graph.top_connected(graph.graph_nodes(m), graph.graph_edges(m))
 
 
@@ -94,13 +95,13 @@ _REACH = """hop AS (SELECT DISTINCT repo_id, source AS a, target AS b FROM cedge
 
 @query(_with("SELECT repo_id, node, component FROM member", _REACH, "cedges"))
 def scc_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.on_cycle(Repository(spark, sf, "customer").edges).select("repo_id", "node", "component")
+    return graph.on_cycle(Repository(spark, sf, "customer", once=("lines",)).edges).select("repo_id", "node", "component")
 
 
 @query(_with("SELECT repo_id, node, component FROM member", _REACH.replace("cedges", "edges"), "edges"))
 def scc_distributed(spark: SparkSession, sf: str) -> DataFrame:
     """Cycles of nations by joins over the cluster, as for repositories too large for a task."""
-    return graph.on_cycle(Repository(spark, sf).edges, 0).select("repo_id", "node", "component")
+    return graph.on_cycle(Repository(spark, sf, once=("lines",)).edges, 0).select("repo_id", "node", "component")
 
 
 @query(
@@ -111,7 +112,7 @@ def scc_distributed(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def circular_claims(spark: SparkSession, sf: str) -> DataFrame:
-    found = risk.circular_dependencies(Repository(spark, sf, "customer").edges.select("repo_id", "source", "target"))
+    found = risk.circular_dependencies(Repository(spark, sf, "customer", once=("lines",)).edges.select("repo_id", "source", "target"))
     return risk.risk_claims(risk.union_signals(found)).select("repo_id", "signal", "severity", "text")
 
 
@@ -136,7 +137,7 @@ def _module_map(c: str) -> str:
 
 @query(_with("SELECT repo_id, module_name, file FROM mm", _module_map(""), "sup"))
 def module_map_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.module_map(Repository(spark, sf).files)
+    return graph.module_map(Repository(spark, sf, once=("lines",)).files)
 
 
 def _imports(edges: DataFrame) -> DataFrame:
@@ -151,23 +152,37 @@ def _imports(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-@query(
-    _with(
+def _resolution(c: str) -> str:
+    return _with(
         "SELECT DISTINCT repo_id, source, file AS target, module_name AS import FROM cand JOIN mm USING (repo_id, module_name) WHERE source <> file",
-        _module_map("c")
-        + f""", st AS (SELECT repo_id, source, {t.module_sql('source')} AS sn, {t.module_sql('target')} AS n, substr(import, 2)::BIGINT % 3 AS w FROM cedges WHERE source LIKE '%.py' AND target LIKE '%.py'),
+        _module_map(c)
+        + f""", st AS (SELECT repo_id, source, {t.module_sql('source')} AS sn, {t.module_sql('target')} AS n, substr(import, 2)::BIGINT % 3 AS w FROM {c}edges WHERE source LIKE '%.py' AND target LIKE '%.py'),
         cand AS (SELECT repo_id, source, n AS module_name FROM st WHERE w = 0
                  UNION ALL SELECT repo_id, source, regexp_replace(n, '\\.?[^.]*$', '') FROM st WHERE w = 1 AND contains(n, '.')
                  UNION ALL SELECT repo_id, source, n FROM st WHERE w = 1 AND contains(n, '.')
                  UNION ALL SELECT repo_id, source, CASE WHEN contains(sn, '.') THEN regexp_replace(sn, '\\.[^.]*$', '') || '.' ELSE '' END || regexp_extract(n, '([^.]*)$', 1) FROM st WHERE w = 2)""",
-        "cedges", "csup",
+        f"{c}edges", f"{c}sup",
     )
-)
+
+
+@query(_resolution("c"))
 def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    r = Repository(spark, sf, "customer")
+    r = Repository(spark, sf, "customer", once=("edges",))
     return graph.resolve(graph.imported_names(_imports(r.edges)), graph.module_map(r.files)).select("repo_id", "source", "target", "import")
 
 
+@query(_resolution(""))
+def parsed_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports of nations' files, parsed from their sources by the table function in SQL, and resolved."""
+    r, names = Repository(spark, sf), F.array_join("aliases", ", ")
+    said = F.when(F.col("kind") == "import", F.concat(F.lit("import "), names)).otherwise(F.concat(F.lit("from "), F.repeat(F.lit("."), F.col("level")), F.coalesce("module", F.lit("")), F.lit(" import "), names))
+    lines = _imports(r.edges).where("kind = 'import' or level > 0 or module != ''").select("repo_id", "source", said.alias("line"))
+    sources = lines.groupBy("repo_id", F.col("source").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("content"))
+    udtf.register(spark)
+    found = spark.sql("SELECT s.repo_id, s.path AS source, f.kind, f.module, f.level, f.aliases FROM {sources} s, LATERAL python_facts(s.content) f WHERE f.kind IN ('import', 'from')", sources=sources)
+    return graph.resolve(graph.imported_names(found), graph.module_map(r.files)).select("repo_id", "source", "target", "import")
+
+
 # --- files and layers ----------------------------------------------------------------
 
 
@@ -189,12 +204,12 @@ def layer_percentages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql("SELECT repo_id, count(*) AS total_files, count(*) FILTER (path LIKE '%.py') AS python_files FROM sup GROUP BY repo_id", "sup"))
 def repository_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return source_files.metadata(Repository(spark, sf).files)
+    return source_files.metadata(Repository(spark, sf, once=("lines", "files")).files)
 
 
 @query(sql("SELECT repo_id, path FROM sup WHERE path LIKE '%.py'", "sup"))
 def relevant_files(spark: SparkSession, sf: str) -> DataFrame:
-    return source_files.relevant(Repository(spark, sf).files).select("repo_id", "path")
+    return source_files.relevant(Repository(spark, sf, once=("lines", "files")).files).select("repo_id", "path")
 
 
 _TREE = """tree AS (SELECT repo_id, path, parent, name, depth, bool_or(is_dir) AS is_dir FROM (SELECT repo_id, array_to_string(p[1:n], '/') AS path, array_to_string(p[1:n - 1], '/') AS parent, p[n] AS name, n AS depth, n < len(p) AS is_dir
@@ -203,17 +218,17 @@ _TREE = """tree AS (SELECT repo_id, path, parent, name, depth, bool_or(is_dir) A
 
 @query(_with("SELECT * FROM tree", _TREE, "sup"))
 def file_tree_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return source_files.tree(Repository(spark, sf).files)
+    return source_files.tree(Repository(spark, sf, once=("lines", "files")).files)
 
 
 @query(_with("SELECT repo_id, parent, is_dir, name, repeat(' ', 2 * (depth - 1)) || name AS line FROM tree", _TREE, "sup"))
 def printed_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return source_files.printed_tree(source_files.tree(Repository(spark, sf).files)).select("repo_id", "parent", "is_dir", "name", "line")
+    return source_files.printed_tree(source_files.tree(Repository(spark, sf, once=("lines", "files")).files)).select("repo_id", "parent", "is_dir", "name", "line")
 
 
 @query(sql(f"SELECT repo_id, path, CASE WHEN {t.layer_sql('path')} = 'test' THEN 'test' ELSE 'production' END AS code_class FROM sup WHERE path LIKE '%.py'", "sup"))
 def code_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return source_files.relevant(Repository(spark, sf).files).select("repo_id", "path", paths.code_class(F.col("path")).alias("code_class"))
+    return source_files.relevant(Repository(spark, sf, once=("lines", "files")).files).select("repo_id", "path", paths.code_class(F.col("path")).alias("code_class"))
 
 
 # --- risks ---------------------------------------------------------------------------
@@ -231,7 +246,7 @@ _UNTESTED = """wanted AS (SELECT repo_id, file, unnest(['tests/test_' || regexp_
 
 @query(_with("SELECT * FROM hot", _HOT, "mods"))
 def hotspot_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return risk.hotspots(Repository(spark, sf).modules).select("repo_id", "file", "module_name", "connection_count", "incoming_count", "outgoing_count", "severity", "reason")
+    return risk.hotspots(Repository(spark, sf, once=("edges", "modules")).modules).select("repo_id", "file", "module_name", "connection_count", "incoming_count", "outgoing_count", "severity", "reason")
 
 
 @query(_with("SELECT * FROM viol", _ALLOWED + ", " + _VIOLATIONS, "edges"))

@@ -122,10 +122,13 @@ for _c, _repo in REPOSITORIES.values():
 
 
 class Repository:
-    """Relations of all repositories; those that a query reads more than once are derived once and written to the shared folder."""
+    """Relations of all repositories, derived once and written to the shared folder, but for those that ``once`` says a query reads once."""
 
-    def __init__(self, spark: SparkSession, sf: str, by: str = "nation"):
-        self.spark, self.sf, self.by = spark, sf, by
+    def __init__(self, spark: SparkSession, sf: str, by: str = "nation", once: tuple[str, ...] = ()):
+        self.spark, self.sf, self.by, self.once = spark, sf, by, once
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return df if name in self.once else materialize(df, name)
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -136,7 +139,7 @@ class Repository:
         orders = read(self.spark, self.sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
         owners = orders.join(read(self.spark, self.sf, "customer"), "c_custkey").select("l_orderkey", owner.alias("repo_id"))
         joined = rows.join(owners, "l_orderkey")
-        return materialize(joined.select("repo_id", F.col("l_suppkey").alias("a"), "b", F.col("l_partkey").alias("p"), F.col("l_shipdate").alias("d")), "lines")
+        return self._kept(joined.select("repo_id", F.col("l_suppkey").alias("a"), "b", F.col("l_partkey").alias("p"), F.col("l_shipdate").alias("d")), "lines")
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -150,7 +153,7 @@ class Repository:
     @cached_property
     def files(self) -> DataFrame:
         mine = self.lines.select("repo_id", F.col("a").alias("k")).distinct()
-        return materialize(mine.join(self.paths, "k").select("repo_id", "path"), "files")
+        return self._kept(mine.join(self.paths, "k").select("repo_id", "path"), "files")
 
     @cached_property
     def layers(self) -> DataFrame:
@@ -163,19 +166,19 @@ class Repository:
     @cached_property
     def edges(self) -> DataFrame:
         hops = self.lines.where("b is not null and a != b").select("repo_id", "a", "b", "p").distinct()
-        return materialize(self.named(hops).select("repo_id", "source", "target", F.concat(F.lit("p"), F.col("p").cast("string")).alias("import")), "edges")
+        return self._kept(self.named(hops).select("repo_id", "source", "target", F.concat(F.lit("p"), F.col("p").cast("string")).alias("import")), "edges")
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return materialize(graph.production_pairs(self.edges, self.production), "pairs")
+        return self._kept(graph.production_pairs(self.edges, self.production), "pairs")
 
     @cached_property
     def modules(self) -> DataFrame:
-        return materialize(graph.modules(self.production, self.pairs), "modules")
+        return self._kept(graph.modules(self.production, self.pairs), "modules")
 
     @cached_property
     def overview(self) -> DataFrame:
-        return materialize(evidence.overview(self.files, self.edges, self.modules, self.pairs, self.signals), "overview")
+        return self._kept(evidence.overview(self.files, self.edges, self.modules, self.pairs, self.signals), "overview")
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -203,7 +206,7 @@ _relation(
 
 def snapshot_modules(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Modules of customers' lines before and from the split date on; in the later half some files' layer is other."""
-    r = Repository(spark, sf, "customer")
+    r = Repository(spark, sf, "customer", once=("lines",))
     hops = r.lines.where("b is not null and a != b").select("repo_id", (F.col("d") < F.to_timestamp(F.lit(SPLIT_DATE))).alias("was"), "a", "b").distinct()
     grouped = r.named(hops).groupBy("repo_id", "was", F.col("source").alias("file")).agg(F.collect_set("target").alias("outgoing_dependencies"))
     layer = F.when(~F.col("was") & F.col("file").endswith("3.py"), "other").otherwise(paths.layer(F.col("file")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import paths
 from strata.operators.graph import KEY
+from strata.sources import repository
 
 SNAPSHOT_SCHEMA = """
 metadata struct<repository_name:string,repository_path:string,total_files:bigint,python_files:bigint>,
@@ -17,18 +18,6 @@ graph_summary struct<node_count:bigint,edge_count:bigint,isolated_node_count:big
 """
 
 
-def list_files(spark: SparkSession, root: str) -> list[tuple[str, int]]:
-    """(path below root, size) of every file, hidden and empty ones included, as Spark's own file index would hold them."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = system.makeQualified(at).toUri().getPath().rstrip("/")
-    found, todo = [], system.listFiles(at, True)
-    while todo.hasNext():
-        status = todo.next()
-        found.append((status.getPath().toUri().getPath()[len(base) + 1 :], status.getLen()))
-    return sorted(found)
-
-
 def bare(name: Column) -> Column:
     """A file's name without scheme and authority."""
     return F.regexp_replace(name, r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?(?=/)", "")
@@ -36,14 +25,7 @@ def bare(name: Column) -> Column:
 
 def scan(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """(repo_id, path, content, size): every file below ``root``; content of relevant files that are UTF-8, else null."""
-    listed = spark.createDataFrame(list_files(spark, root), "path string, size bigint")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = F.rtrim(bare(F.lit(root)), F.lit("/"))
-    below = F.substring(bare(F.col("path")), F.length(prefix) + 2, F.length("path"))
-    body = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8"))
-    read = raw.select(below.alias("path"), body.alias("body"), F.lit(True).alias("there")).where(paths.is_relevant(F.col("path")))
-    content = F.when(F.col("there"), F.col("body")).when((F.col("size") == 0) & paths.is_relevant(F.col("path")), "")
-    return listed.join(read, "path", "left").select(F.lit(repo_id).alias(KEY), "path", content.alias("content"), "size")
+    return repository.read(spark, root, repo_id=repo_id).select(KEY, "path", "content", "size")
 
 
 def relevant(files: DataFrame) -> DataFrame:
