@@ -8,8 +8,12 @@ probability that it is good reaches one half.  A rule that nearly always votes
 good thus says little by doing so, and much by voting bad.  Counts are taken
 over all documents.
 
-Null text has no words.  Equal texts get equal verdicts; an empty table gives
-the pseudo-counts' model.  Input columns other than doc_id and text play no part.
+Null and empty texts have no words and fail the base.  Repeated rows are texts each, in
+the counts as in the result; equal texts get equal verdicts, whatever their doc_id, and a null
+doc_id stays null.  A posterior of exactly one half is kept.  Very long texts are counted whole, in
+time linear in their bytes but for the sorting of their words.  An empty table gives an empty
+result and the pseudo-counts' model.  Input columns other than doc_id and text, whatever their
+names, play no part and are kept by ``keep_good``.
 """
 
 from __future__ import annotations

@@ -16,7 +16,10 @@ bits its low 60 bits hold.  Selector 15 is the escape: the low bits count raw
 Writers put each file under a name of its own attempt and return a manifest row;
 only files that successful tasks report are read, so a lost executor leaves at
 most an unreferenced file.  Rows with a null doc_id come first; equal doc_ids
-are ordered by text.  Null text counts as empty (the end id alone).
+are ordered by text.  Null text counts as empty (the end id alone).  doc_id must be an integer,
+or text that reads as one: files hold it in 64 bits.  Repeated rows are documents each, side by
+side.  A very long text is encoded whole and spans as many blocks as it needs.  An empty table
+gives no file and an empty result.  Columns besides doc_id and text play no part.
 """
 
 from __future__ import annotations

@@ -201,3 +201,44 @@ def test_very_long_texts(spark):
     assert [stored[i].payload_sha256 for i in range(3)] == [cases.sha(media.pad(t.encode())) for t in texts]
     scored = {r.doc_id: r for r in hmm.score(docs).collect()}
     assert [scored[i].n_tokens for i in range(3)] == [len(cases.WORD.findall(t)) + 1 for t in texts]
+
+
+def plain_votes(f):
+    """The nine votes of a text, from its counts."""
+    share = lambda a, b: a / b if b else 0.0
+
+    def band(value, good, bad, ready):
+        return 0 if not ready else -1 if value >= bad else 1 if value <= good else 0
+
+    n, some = f["n_words"], f["n_words"] >= 10
+    mean = share(f["word_chars"], n)
+    return [
+        band(share(f["n_symbols"], n), 0.1, 0.3, some), band(share(f["n_runs"], n), 0.03, 0.15, some), band(share(f["n_odd"], f["n_bytes"]), 0.06, 0.09, some),
+        band(share(f["n_upper"], f["n_upper"] + f["n_lower"]), 0.15, 0.4, some), band(share(f["n_repeat_words"], n), 0.1, 0.3, some), band(share(f["n_dup_lines"], f["n_lines"]), 0.1, 0.3, f["n_lines"] >= 3),
+        band(share(f["n_marks"], n), 0.05, 0.2, some), -1 if some and (mean < 2.5 or mean > 14) else 1 if some and 3 <= mean <= 11 else 0, band(1 - share(f["n_distinct"], n), 0.7, 0.9, n >= 100),
+    ]
+
+
+def test_quality_posterior_is_plain_expectation_maximisation(spark):
+    """Document by document, in numpy: the posterior and the verdict of every text."""
+    docs = cases.documents(spark)
+    given = [(r.doc_id, r.text) for r in docs.collect()]
+    counts = [dict(zip(quality_rules.FEATURES, quality_rules.count_features(None if t is None else t.encode()))) for _, t in given]
+    votes = np.array([plain_votes(f) for f in counts])
+    p = np.array([(0.95, 0.2, 0.02)[min(2, int((v == -1).sum()))] for v in votes])
+    for _ in range(200):
+        prior = min(0.98, max(0.05, (p.sum() + 7) / (len(p) + 10)))
+        good = np.array([[0.1 + p[votes[:, j] == -1].sum(), 1 + p[votes[:, j] == 0].sum(), 2 + p[votes[:, j] == 1].sum()] for j in range(9)])
+        bad = np.array([[2 + (1 - p)[votes[:, j] == -1].sum(), 1 + (1 - p)[votes[:, j] == 0].sum(), 1 + (1 - p)[votes[:, j] == 1].sum()] for j in range(9)])
+        good, bad = good / good.sum(axis=1, keepdims=True), bad / bad.sum(axis=1, keepdims=True)
+        turned = bad[:, 0] < good[:, 0]
+        good[turned] = bad[turned] = (good[turned] + bad[turned]) / 2
+        likely = lambda chances: np.prod([chances[j][votes[:, j] + 1] for j in range(9)], axis=0)
+        new = prior * likely(good) / (prior * likely(good) + (1 - prior) * likely(bad))
+        done, p = np.abs(new - p).max() < 1e-9, new
+        if done:
+            break
+    found = sorted(((r.doc_id, round(r.posterior, 6), r.kept) for r in quality_rules.judge(docs).collect()), key=repr)
+    fails = [f["n_words"] < 50 or 100 * f["n_repeat_words"] > 50 * f["n_words"] for f in counts]
+    expected = sorted(((i, round(float(x), 6), bool(not bad_ and x >= 0.5)) for (i, _), x, bad_ in zip(given, p, fails)), key=repr)
+    assert found == expected and {k for *_, k in found} == {True, False}
