@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strata.functions import paths, text, vocab
 from strata.functions.text import words
 from strata.operators import ranges
+from strata.operators.graph import KEY
 from strata.storage import materialize
 
 #: Line ends besides \n that split a text, and a last empty line that does not count.
@@ -224,13 +225,18 @@ def overlapping(evidence: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def attach_symbols(rows: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Chunks with the classes and functions whose lines they meet; symbols has file, kind, name, start_line, end_line."""
-    s = symbols.select(F.col("file").alias("_file"), "kind", "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    met = ranges.meeting(rows.select("file", "start_line", "end_line"), s, ("file", "start_line", "end_line"), ("_file", "s", "e"))
+    """Chunks with the classes and functions whose lines they meet; symbols has file, kind, name, start_line, end_line.
+
+    Where both have a repo_id, files of different repositories are different files.
+    """
+    keys = [KEY] if KEY in rows.columns and KEY in symbols.columns else []
+    own = F.struct(*keys, "file")
+    s = symbols.select(own.alias("_file"), "kind", "name", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
+    met = ranges.meeting(rows.select(*keys, "file", own.alias("_own"), "start_line", "end_line"), s, ("_own", "start_line", "end_line"), ("_file", "s", "e"))
     item = F.struct(F.col("s").alias("start_line"), "name", F.col("e").alias("end_line"))
     names = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, item))), lambda x: F.struct(x["name"].alias("name"), x["start_line"].alias("start_line"), x["end_line"].alias("end_line")))
-    grouped = met.groupBy("file", "start_line").agg(F.struct(names("class").alias("classes"), names("function").alias("functions")).alias("symbols"))
-    return rows.join(grouped, ["file", "start_line"], "left")
+    grouped = met.groupBy(*keys, "file", "start_line").agg(F.struct(names("class").alias("classes"), names("function").alias("functions")).alias("symbols"))
+    return rows.join(grouped, [*keys, "file", "start_line"], "left")
 
 
 def evaluation(found: DataFrame, expected: DataFrame) -> DataFrame:

@@ -15,9 +15,13 @@ from strata.storage import materialize
 
 
 class Analysis:
-    """All relations of the repositories in a table of files, each derived once from one parse."""
+    """All relations of the repositories in a table of files, each derived once from one parse.
 
-    def __init__(self, files: DataFrame, chunk_lines: int = 50):
+    ``drift`` has (repo_id, file, change) between the two newest snapshots, as ``module_drift`` gives
+    it: removed modules are risks too.
+    """
+
+    def __init__(self, files: DataFrame, chunk_lines: int = 50, drift: DataFrame | None = None):
         self.files = files
         self.facts = materialize(pyast.facts(source_files.relevant(files).where(F.col("path").endswith(".py"))), "facts")
         self.structure = pyast.structure(self.facts)
@@ -33,6 +37,7 @@ class Analysis:
             risk.hotspots(self.modules), risk.circular_dependencies(pairs), risk.layer_violations(self.edges, self.layers),
             risk.missing_test_counterparts(self.production, files), risk.hardcoded_secrets(pyast.assignments(self.facts)), risk.dynamic_execution(pyast.calls(self.facts)),
         ]
+        found += [risk.removed_modules(drift)] if drift is not None else []
         self.signals = risk.normalise(risk.union_signals(*found))
 
     def overview(self) -> DataFrame:
@@ -64,6 +69,24 @@ def load_snapshot(spark: SparkSession, *candidates: str | None) -> DataFrame | N
     return None
 
 
+def _paired_modules(spark: SparkSession, pairs: DataFrame) -> DataFrame | None:
+    """Modules of both snapshots of each pair, ``was`` telling which; None without pairs."""
+    named = pairs.where("baseline is not null").select(KEY, F.explode(F.array(F.struct(F.col("baseline").alias("path"), F.lit(True).alias("was")), F.struct(F.col("current").alias("path"), F.lit(False).alias("was")))).alias("s"))
+    paths = sorted({r.path for r in named.select("s.path").distinct().collect()})
+    if not paths:
+        return None
+    modules = source_files.modules_by_path(spark, paths)
+    return materialize(named.select(KEY, "s.was", source_files.bare(F.col("s.path")).alias("snapshot")).join(modules, "snapshot").drop("snapshot"), "snapshot-modules")
+
+
+def module_drift(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
+    """(repo_id, file, change) between the two newest of (repo_id, path) snapshots of each repository; no rows where there is only one."""
+    joined = _paired_modules(spark, materialize(drift.pair(snapshots), "snapshot-pairs"))
+    if joined is None:
+        return snapshots.select(KEY, F.lit("").alias("file"), F.lit("").alias("change")).limit(0)
+    return drift.module_drift(joined.where("was"), joined.where("not was"))
+
+
 def drift_report(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
     """Drift of the newest snapshot against the one before, by repository; unconfigured where there is only one.
 
@@ -73,12 +96,8 @@ def drift_report(spark: SparkSession, snapshots: DataFrame) -> DataFrame:
     """
     pairs = materialize(drift.pair(snapshots), "snapshot-pairs")
     lone = pairs.where("baseline is null").select(KEY, F.lit("unconfigured").alias("status"))
-    named = pairs.where("baseline is not null").select(KEY, F.explode(F.array(F.struct(F.col("baseline").alias("path"), F.lit(True).alias("was")), F.struct(F.col("current").alias("path"), F.lit(False).alias("was")))).alias("s"))
-    paths = sorted({r.path for r in named.select("s.path").distinct().collect()})
-    if not paths:
+    joined = _paired_modules(spark, pairs)
+    if joined is None:
         return lone
-    modules = source_files.modules_by_path(spark, paths)
-    joined = named.select(KEY, "s.was", source_files.bare(F.col("s.path")).alias("snapshot")).join(modules, "snapshot").drop("snapshot")
-    joined = materialize(joined, "snapshot-modules")
     whole = drift.report(joined.where("was").drop("was"), joined.where("not was").drop("was"))
     return whole.unionByName(lone, allowMissingColumns=True)

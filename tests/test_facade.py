@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators import graph, selection
-from strata.plans import facade, qa, service
+from strata.operators import graph, retrieval, selection
+from strata.plans import facade, provider, qa, service
 from strata.sources import artifacts, files
 
 TREE = {
@@ -48,6 +48,10 @@ def test_analysis_and_questions(spark, tmp_path):
     second = files.write_snapshot(changed, str(snaps), "20260102_000000")
     report = facade.drift_report(spark, listed.union(spark.createDataFrame([("r", second)]))).first()
     assert (report.status, report.removed, report.has_drift) == ("ready", 1, True)
+    moved = facade.module_drift(spark, listed.union(spark.createDataFrame([("r", second)])))
+    risky = facade.Analysis(files.scan(spark, str(tmp_path / "repo"), "r"), drift=moved).signals
+    assert {(s.signal, s.file, s.severity) for s in risky.where("signal = 'architecture_drift'").collect()} == {("architecture_drift", "src/app/adapter.py", "medium")}
+    assert facade.module_drift(spark, listed).count() == 0
     assert facade.load_snapshot(spark, str(tmp_path / "none"), None, second).count() == 1
     assert facade.load_snapshot(spark, None, str(tmp_path / "none")) is None
 
@@ -161,3 +165,48 @@ def test_scan_of_all_chunks_comes_last(spark):
     decision, items = v.verify([claim])[claim]
     assert decision == "supported" and [e["file"] for e in items] == ["src/other.py"]
     assert all("frobnicate" in p for p in provider.prompts)
+
+
+def test_symbols_stay_in_their_repository(spark):
+    rows = spark.createDataFrame([(r, "a.py", 1, 9) for r in ("x", "y")], "repo_id string, file string, start_line int, end_line int")
+    names = spark.createDataFrame([("x", "a.py", "class", "X", 2, 3), ("y", "a.py", "class", "Y", 2, 3)], "repo_id string, file string, kind string, name string, start_line int, end_line int")
+    assert {(r.repo_id, r.symbols.classes[0].name) for r in retrieval.attach_symbols(rows, names).collect()} == {("x", "X"), ("y", "Y")}
+
+
+class Structured:
+    """A provider that answers by JSON, as its prompt says."""
+
+    def generate_json(self, prompt, schema):
+        if "late" in prompt:
+            raise TimeoutError("secret path")
+        if "away" in prompt:
+            raise ConnectionRefusedError("secret path")
+        if "odd" in prompt:
+            raise RuntimeError("secret path")
+        return {"bad": "no json", "none": '{"reason": "x"}', "blank": " "}.get(prompt, '{"decision": "supported", "keys": "' + ",".join(schema["required"]) + '"}')
+
+
+def test_replies_and_errors_by_name(spark):
+    prompts = ["fine", "late", "away", "odd", "bad", "none", "blank", "", None]
+    df = spark.createDataFrame([(p,) for p in prompts], "p string")
+    found = {r.p: r.r for r in df.select("p", provider.generate_json(F.col("p"), Structured(), provider.DECISION_SCHEMA).alias("r")).collect()}
+    assert found["fine"].error is None and '"decision"' in found["fine"].text
+    assert {p: found[p].error for p in prompts[1:]} == {"late": "timeout", "away": "unavailable", "odd": "request_failed", "bad": "invalid_response", "none": "invalid_response", "blank": "invalid_response", "": "empty_prompt", None: "empty_prompt"}
+    plain = {r.p: r.r for r in df.select("p", provider.generate_json(F.col("p"), lambda p: "```json\n{\"decision\": \"no\"}\n```", provider.DECISION_SCHEMA).alias("r")).collect()}
+    assert plain["late"].text == '{"decision": "no"}' and plain[None].error == "empty_prompt"
+    said = {r.p: r.r for r in df.select("p", provider.generate(F.col("p"), lambda p: p.upper()).alias("r")).collect()}
+    assert said["late"].text == "LATE"
+
+
+def test_states():
+    assert provider.health("s") == {"status": "ok", "service": "s"}
+    assert provider.release("s", "7", "1.0")["release"] == "7"
+    probe = lambda **k: lambda: k
+    assert provider.model_status("p", "m", probe(reachable=True, model_configured=True))["status"] == "ready"
+    assert provider.model_status("p", "m", probe(reachable=True, model_configured=False))["status"] == "model_missing"
+    assert provider.model_status("p", "m", probe(reachable=False, reason="timeout")) == {"status": "unavailable", "provider": "p", "model": "m", "reason": "timeout"}
+
+    def broken():
+        raise TimeoutError
+
+    assert provider.model_status("p", "m", broken)["reason"] == "timeout"
