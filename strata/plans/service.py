@@ -33,15 +33,20 @@ def with_symbols(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("symbol_names", F.coalesce(F.array_join(F.transform(both, lambda s: s["name"]), " "), F.lit("")))
 
 
+def graph_summary_evidence(modules: DataFrame) -> DataFrame:
+    """The graph of each repository as one row of evidence."""
+    told = F.concat(
+        F.lit("The graph has "), F.col("node_count").cast("string"), F.lit(" production modules and "), F.col("edge_count").cast("string"), F.lit(" dependency edges. Most connected: "),
+        F.array_join("top_connected", ", "), F.lit(". Most outgoing: "), F.array_join("top_outgoing", ", "), F.lit(". Most incoming: "), F.array_join("top_incoming", ", "), F.lit("."),
+    )
+    return evidence.graph_evidence(modules).withColumn("content", told)
+
+
 def architecture_evidence(query: str, modules: DataFrame, k: int = 5) -> DataFrame:
     """The graph's summary for questions on the whole of it, else the k modules that meet the question best; one or k rows a repository."""
     is_global = modules.sparkSession.range(1).select(text.is_global_architecture_query(F.lit(query))).first()[0]
     if is_global:
-        told = F.concat(
-            F.lit("The graph has "), F.col("node_count").cast("string"), F.lit(" production modules and "), F.col("edge_count").cast("string"), F.lit(" dependency edges. Most connected: "),
-            F.array_join("top_connected", ", "), F.lit(". Most outgoing: "), F.array_join("top_outgoing", ", "), F.lit(". Most incoming: "), F.array_join("top_incoming", ", "), F.lit("."),
-        )
-        return evidence.graph_evidence(modules).withColumn("content", told)
+        return graph_summary_evidence(modules)
     met = evidence.lookup_modules(modules, query, k).select(KEY, "file")
     return evidence.module_evidence(modules.join(met, [KEY, "file"], "left_semi"))
 
