@@ -8,7 +8,7 @@ import pytest
 
 from strata.queries import answers, prose, qa, structure
 
-PYTHON = {"mmr_top_k", "python_structure", "structure_totals", "chunk_symbols", "rate_limiter", "scc_cycles", "circular_claims", "score_symbols"}
+PYTHON = {"mmr_top_k", "python_structure", "structure_totals", "chunk_symbols", "rate_limiter", "scc_cycles", "circular_claims", "score_symbols", "parsed_imports"}
 
 
 def plan_of(df) -> str:
