@@ -44,19 +44,37 @@ def facts_of(source: str | None) -> Iterator[dict]:
                 pass
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """(repo_id, file, facts...) of (repo_id, path, content) rows; parsing happens once and in Arrow batches."""
-    kind = files.schema[KEY].dataType.simpleString()
-    schema = pa.schema([("kind", pa.string()), ("name", pa.string()), ("module", pa.string()), ("level", pa.int32()), ("aliases", pa.list_(pa.string())), ("line", pa.int32()), ("end_line", pa.int32()), ("has_docstring", pa.bool_()), ("value", pa.string()), ("error", pa.string())])
+SCHEMA = pa.schema([
+    ("kind", pa.string()), ("name", pa.string()), ("module", pa.string()), ("level", pa.int32()), ("aliases", pa.list_(pa.string())), ("line", pa.int32()), ("end_line", pa.int32()),
+    ("has_docstring", pa.bool_()), ("value", pa.string()), ("error", pa.string()),
+])
+ROWS = 10_000  # facts of one batch, more if a single file has more
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Facts of all files, those of many small files in one batch."""
+    for batch in batches:
+        found, owners = [], []
+        for i, source in enumerate(batch.column(2)):
+            rows = list(facts_of(source.as_py()))
+            found += rows
+            owners += [i] * len(rows)
+            if found and (len(found) >= ROWS or i + 1 == batch.num_rows):
+                at = pa.array(owners, pa.int64())
+                columns = [pa.array([r.get(f.name) for r in found], f.type) for f in SCHEMA]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *columns], [KEY, "file", *_FIELDS])
+                found, owners = [], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = pa.RecordBatch.from_pylist(list(facts_of(batch.column(2)[i].as_py())), schema)
-                keys = [pa.array([batch.column(j)[i].as_py()] * found.num_rows, batch.schema.field(j).type) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, *found.columns], [KEY, "file", *_FIELDS])
 
-    return files.select(KEY, "path", "content").mapInArrow(run, f"{KEY} {kind}, file string, {FACTS}")
+def facts(files: DataFrame) -> DataFrame:
+    """(repo_id, file, facts...) of (repo_id, path, content) rows; parsing happens once and in Arrow batches.
+
+    Files are dealt over the cluster first: parsing is far dearer than reading, so that a table of
+    few megabytes, a partition or two as it is read, is work for all cores.
+    """
+    kind = files.schema[KEY].dataType.simpleString()
+    dealt = files.select(KEY, "path", "content").repartition(KEY, "path")
+    return dealt.mapInArrow(_batches, f"{KEY} {kind}, file string, {FACTS}")
 
 
 def structure(found: DataFrame) -> DataFrame:
