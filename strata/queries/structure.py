@@ -95,13 +95,13 @@ _REACH = """hop AS (SELECT DISTINCT repo_id, source AS a, target AS b FROM cedge
 
 @query(_with("SELECT repo_id, node, component FROM member", _REACH, "cedges"))
 def scc_cycles(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.on_cycle(Repository(spark, sf, "customer", once=("lines",)).edges).select("repo_id", "node", "component")
+    return graph.on_cycle(Repository(spark, sf, "customer", once=("lines",)).calls).select("repo_id", "node", "component")
 
 
 @query(_with("SELECT repo_id, node, component FROM member", _REACH.replace("cedges", "edges"), "edges"))
 def scc_distributed(spark: SparkSession, sf: str) -> DataFrame:
     """Cycles of nations by joins over the cluster, as for repositories too large for a task."""
-    return graph.on_cycle(Repository(spark, sf, once=("lines",)).edges, 0).select("repo_id", "node", "component")
+    return graph.on_cycle(Repository(spark, sf, once=("lines",)).calls, 0).select("repo_id", "node", "component")
 
 
 @query(

@@ -37,3 +37,31 @@ def test_pairs_are_not_grouped_by_paths(spark, small):
     pairs = tables.Repository(spark, small, "customer", once=("lines", "files", "edges", "pairs")).pairs
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "HashAggregate" in line and "source" in line]
+
+
+def test_components_by_numbers(spark, monkeypatch):
+    """Large repositories go by numbers: no table that is written round by round has a node's name, and two nodes never share a number."""
+    written, write = {}, graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.setdefault(name, []).append(df.dtypes) or write(df, name))
+    edges = [("r", "a", "b"), ("r", "b", "a"), ("r", "b", "c"), ("r", "c", "d"), ("r", "d", "c"), ("r", "e", "e"), ("r", "x", "a"), ("s", "a", "b"), ("s", "b", "a"), ("s", "b", "a"), ("s", "y", "z")]
+    found = graph.components(spark.createDataFrame(edges, PAIR), 0)
+    assert sorted(map(tuple, found.collect())) == [("r", "a", "a"), ("r", "b", "a"), ("r", "c", "c"), ("r", "d", "c"), ("r", "e", "e"), ("s", "a", "a"), ("s", "b", "a")]
+    rounds = [d for name in ("numbers", "colours", "reached", "inner", "edges", "nodes") for d in written.get(name, [])]
+    assert rounds and not [d for d in rounds if "string" in dict(d).values()]
+
+
+def test_local_components_over_batches(spark, monkeypatch):
+    """A task trims many repositories at once; one that batches cut in two stays whole."""
+    import pandas as pd
+
+    monkeypatch.setattr(graph, "BATCH_EDGES", 3)
+    rows = [("a", "x", "y"), ("a", "y", "x"), ("b", "p", "q"), ("b", "q", "r"), ("b", "r", "p"), ("b", "r", "z"), ("c", "x", "y"), ("d", "s", "s"), ("d", "k", "s")]
+    frames = [pd.DataFrame(rows[i : i + 2], columns=["repo_id", "source", "target"]) for i in range(0, len(rows), 2)]
+    found = pd.concat(graph._local_components(iter(frames)))
+    assert sorted(found.itertuples(index=False, name=None)) == [("a", "x", "x"), ("a", "y", "x"), ("b", "p", "p"), ("b", "q", "p"), ("b", "r", "p"), ("d", "s", "s")]
+
+
+def test_edges_are_computed_once(spark, small):
+    """Trimming does not repeat what derives the edges."""
+    found = graph.components(tables.Repository(spark, small, "customer", once=("lines",)).calls)
+    assert "lineitem" not in found._jdf.queryExecution().executedPlan().toString()
