@@ -112,7 +112,7 @@ def scc_distributed(spark: SparkSession, sf: str) -> DataFrame:
     )
 )
 def circular_claims(spark: SparkSession, sf: str) -> DataFrame:
-    found = risk.circular_dependencies(Repository(spark, sf, "customer", once=("lines",)).edges.select("repo_id", "source", "target"))
+    found = risk.circular_dependencies(Repository(spark, sf, "customer", once=("lines",)).calls)
     return risk.risk_claims(risk.union_signals(found)).select("repo_id", "signal", "severity", "text")
 
 
