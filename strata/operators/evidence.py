@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strata.functions import text, vocab
 from strata.functions.text import words
 from strata.operators.graph import KEY
+from strata.storage import materialize
 
 
 def ranked_facts(modules: DataFrame, by: str, k: int | None = None) -> DataFrame:
@@ -85,16 +86,39 @@ def context_score(query_tokens: Column, content: Column, file: Column, symbols:
     return (*hits, hits[0] + 5 * hits[1] + 3 * hits[2])
 
 
+def _possible(chunks: DataFrame, asked: list[str]) -> DataFrame:
+    """Chunks that may share a word's form with the asked ones, by their letters alone, before any is cut into tokens.
+
+    A token is a stretch of lower-case text; what has an asked form is that form, with or without further letters, or
+    all but its last letter (plurals in -ies, or the form's own -s), or a word with that alias.
+    """
+    needles = {n for a in asked for n in (a, a[:-1]) if n} | {k for k, aliases in vocab.SELECTOR_ALIASES.items() if set(asked) & set(aliases)}
+    # What holds a needle's beginning is looked for once.
+    needles = sorted(n for n in needles if not any(n != m and m in n for m in needles))
+    found = F.lit(False)
+    for column in ("content", "file", "symbol_names"):
+        low = F.lower(column)
+        for n in needles:
+            found = found | low.contains(n)
+    return chunks.where(found)
+
+
+def _asked_forms(spark: SparkSession, query: str) -> list[str]:
+    return list(spark.range(1).select(text.selector_forms(text.selector_tokens(F.lit(query))).alias("a")).first().a)
+
+
 def diverse_code(chunks: DataFrame, query: str, k: int = 6) -> DataFrame:
     """Code evidence for a claim: best chunk of each file first, then the rest, at most k.
 
     Chunks that share words with the query in their file or symbols come alone
     where there are any.  ``chunks`` has file, start_line, content, symbol_names and pos.
     """
-    asked = text.selector_forms(text.selector_tokens(F.lit(query)))
+    forms = _asked_forms(chunks.sparkSession, query)
+    chunks, asked = _possible(chunks, forms), words(forms)
     content, in_file, symbol, _ = context_score(asked, F.col("content"), F.col("file"), F.col("symbol_names"))
     scored = chunks.select("file", "start_line", "pos", content.alias("content_hits"), in_file.alias("file_hits"), symbol.alias("symbol_hits"))
     scored = scored.withColumn("score", (F.col("content_hits") + 8 * F.col("file_hits") + 5 * F.col("symbol_hits")).cast("bigint")).where("score > 0")
+    scored = materialize(scored, "code-hits")  # read twice, so that texts are scored once
     structural = (F.col("file_hits") + F.col("symbol_hits")) > 0
     any_structural = scored.agg(F.bool_or(structural).alias("some"))  # a single row
     kept = scored.crossJoin(F.broadcast(any_structural)).where(structural | ~F.coalesce("some", F.lit(False)))
@@ -110,9 +134,11 @@ def structural_first(chunks: DataFrame, query: str, k: int) -> DataFrame:
     file's or a symbol's.  ``chunks`` has file, start_line, content, symbol_names,
     retrieval_score and pos, which breaks ties.
     """
-    asked = text.selector_forms(text.selector_tokens(F.lit(query)))
+    forms = _asked_forms(chunks.sparkSession, query)
+    chunks, asked = _possible(chunks, forms), words(forms)
     content, in_file, symbol, score = context_score(asked, F.col("content"), F.col("file"), F.col("symbol_names"))
     scored = chunks.withColumns({"_c": content, "_f": in_file, "_s": symbol, "context_score": score.cast("bigint")}).where("context_score > 0")
+    scored = materialize(scored, "code-hits")
     structural = (F.col("_f") + F.col("_s")) > 0
     # One row: whether any chunk is structural.
     some = scored.agg(F.coalesce(F.bool_or(structural), F.lit(False)).alias("_some"))
