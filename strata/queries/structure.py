@@ -141,7 +141,7 @@ def module_map_resolution(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _imports(edges: DataFrame) -> DataFrame:
-    """Statements that may give the edges: plain, from a package, and relative ones."""
+    """Statements that may give the edges, some more than once: plain, from a package, and relative ones."""
     name = paths.module_name(F.col("target"))
     package, own = F.regexp_replace(name, r"\.?[^.]*$", ""), F.regexp_extract(name, r"([^.]*)$", 1)
     way = F.substring("import", F.lit(2), F.length("import")).cast("bigint") % 3
@@ -149,7 +149,7 @@ def _imports(edges: DataFrame) -> DataFrame:
     return rows.select(
         "repo_id", "source", F.when(F.col("w") == 0, "import").otherwise("from").alias("kind"), F.when(F.col("w") == 1, F.col("p")).alias("module"),
         F.when(F.col("w") == 2, 1).otherwise(0).alias("level"), F.array(F.when(F.col("w") == 0, F.col("n")).otherwise(F.col("o"))).alias("aliases"),
-    ).distinct()
+    )
 
 
 def _resolution(c: str) -> str:
@@ -168,16 +168,16 @@ def _resolution(c: str) -> str:
 @query(_resolution("c"))
 def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
     r = Repository(spark, sf, "customer", once=("edges",))
-    return graph.resolve(graph.imported_names(_imports(r.edges)), graph.module_map(r.files)).select("repo_id", "source", "target", "import")
+    return graph.resolve(graph.imported_names(_imports(r.edges).distinct()), graph.module_map(r.files)).select("repo_id", "source", "target", "import")
 
 
 @query(_resolution(""))
 def parsed_imports(spark: SparkSession, sf: str) -> DataFrame:
     """Imports of nations' files, parsed from their sources by the table function in SQL, and resolved."""
-    r, names = Repository(spark, sf), F.array_join("aliases", ", ")
+    r, names = Repository(spark, sf, once=("edges", "files")), F.array_join("aliases", ", ")
     said = F.when(F.col("kind") == "import", F.concat(F.lit("import "), names)).otherwise(F.concat(F.lit("from "), F.repeat(F.lit("."), F.col("level")), F.coalesce("module", F.lit("")), F.lit(" import "), names))
     lines = _imports(r.edges).where("kind = 'import' or level > 0 or module != ''").select("repo_id", "source", said.alias("line"))
-    sources = lines.groupBy("repo_id", F.col("source").alias("path")).agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("content"))
+    sources = lines.groupBy("repo_id", F.col("source").alias("path")).agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("content"))
     udtf.register(spark)
     found = spark.sql("SELECT s.repo_id, s.path AS source, f.kind, f.module, f.level, f.aliases FROM {sources} s, LATERAL python_facts(s.content) f WHERE f.kind IN ('import', 'from')", sources=sources)
     return graph.resolve(graph.imported_names(found), graph.module_map(r.files)).select("repo_id", "source", "target", "import")

@@ -13,6 +13,7 @@ from strata.operators.graph import KEY
 
 FACTS = "kind string, name string, module string, level int, aliases array<string>, line int, end_line int, has_docstring boolean, value string, error string"
 _FIELDS = [f.split()[0] for f in FACTS.split(", ")]
+_TOLD = (ast.Import, ast.ImportFrom, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef, ast.Call, ast.Assign)
 
 
 def facts_of(source: str | None) -> Iterator[dict]:
@@ -24,7 +25,9 @@ def facts_of(source: str | None) -> Iterator[dict]:
         return
     yield {"kind": "module", "line": 1, "has_docstring": ast.get_docstring(tree) is not None}
     for node in ast.walk(tree):
-        where = {"line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None)}
+        if not isinstance(node, _TOLD):
+            continue
+        where = {"line": node.lineno, "end_line": node.end_lineno}
         match node:
             case ast.Import():
                 yield {"kind": "import", "level": 0, "aliases": [a.name for a in node.names], **where}

@@ -19,4 +19,5 @@ class PythonFacts:
 
 
 def register(spark: SparkSession, name: str = "python_facts") -> None:
-    spark.udtf.register(name, F.udtf(PythonFacts, returnType=FACTS, useArrow=True))
+    """Rows go as tuples: with Arrow each call, a source's few facts, would make a table of its own."""
+    spark.udtf.register(name, F.udtf(PythonFacts, returnType=FACTS))

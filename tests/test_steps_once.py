@@ -1,4 +1,4 @@
-"""Texts are scored once and only where they can count."""
+"""Texts are scored once and only where they can count; facts of a source are rows, not a table each."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text
 from strata.operators import evidence
+from strata.sources import udtf
 
 QUERIES = ["idiot clown", "queries of the session", "utility classes", "authentication", "a_b buses", "parse"]
 CONTENTS = ["IdiotBox", "clowns", "query", "queries", "sessions_x", "SESSION", "util", "utilities", "class", "auth", "Authenticate", "bus", "buse", "bu", "parses parsed", "pars", "nothing", "", None, "a_b", "HTTPIdiot_s"]
@@ -26,3 +27,10 @@ def test_texts_are_scored_once(spark):
     chunks = spark.createDataFrame([("a.py", 1, "clown", "", 1)], "file string, start_line int, content string, symbol_names string, pos int")
     plan = evidence.diverse_code(chunks, "clown")._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "ExistingRDD" not in plan and "regexp" not in plan
+
+
+def test_facts_of_a_source_are_no_table_each(spark):
+    udtf.register(spark)
+    found = spark.sql("SELECT f.kind FROM VALUES ('import a'), ('from b import c') s(content), LATERAL python_facts(s.content) f")
+    assert "ArrowEvalPythonUDTF" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.kind for r in found.collect()) == ["from", "import", "module", "module"]
