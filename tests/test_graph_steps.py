@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strata.operators import graph
+from strata.operators import graph, risk
 from strata.queries import tables
 
 PAIR = "repo_id string, source string, target string"
@@ -73,3 +73,12 @@ def test_repositories_without_a_cycle(spark):
     assert graph.components(none).count() == 0 and graph.cycles(none).count() == 0
     both = none.union(spark.createDataFrame([("c", "x", "y"), ("c", "y", "x")], PAIR))
     assert sorted(map(tuple, graph.components(both).collect())) == [("c", "x", "x"), ("c", "y", "x")]
+
+
+def test_no_circular_claims(spark):
+    """Repositories without cycles give no claims, those beside them theirs."""
+    claims = lambda df: [r.text for r in risk.risk_claims(risk.union_signals(risk.circular_dependencies(df))).collect()]
+    none = spark.createDataFrame([("a", "x.py", "y.py"), ("a", "y.py", "z.py"), ("b", "x.py", "z.py")], PAIR)
+    assert claims(none) == []
+    ring = spark.createDataFrame([("c", "x.py", "y.py"), ("c", "y.py", "x.py")], PAIR)
+    assert claims(none.union(ring)) == ["Circular dependency detected across 2 production modules: x.py, y.py."]
